@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textblocks import row_blocks
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -46,9 +51,30 @@ def drop_staged(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``text`` only, null text as empty: other columns never clash with an operator's own."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``text`` (null as empty) and the columns to keep, as one struct named ``_kept``.
+
+    Other columns are left out, so they never clash with an operator's own.
+    """
+    kept = [F.struct(*(F.col(c) for c in keep)).alias("_kept")] if keep else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *kept)
+
+
+def rewritten(rows: DataFrame, by: str, rewrite: Callable[[str, Any], tuple], own: list[tuple[str, pa.DataType]], keep: tuple[str, ...]) -> DataFrame:
+    """``doc_id``, what ``rewrite`` gives for the text and the column ``by``, and the kept columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, extra = b.column("text").to_pylist(), b.column(by).to_pylist()
+            for lo, hi in row_blocks(texts, 4 << 20):
+                got = zip(*map(rewrite, texts[lo:hi], extra[lo:hi]), strict=True)
+                cols = [pa.array(c, t) for c, (_, t) in zip(got, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ["doc_id", *["_kept"] * bool(keep)]), *cols], names=["doc_id", *["_kept"] * bool(keep), *(n for n, _ in own)])
+
+    kept = f"_kept {rows.schema['_kept'].dataType.simpleString()}, " if keep else ""
+    schema = "doc_id long, " + kept + ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in own)
+    out = rows.mapInArrow(run, schema)
+    return out.select("doc_id", *(n for n, _ in own), *(F.col("_kept")[c].alias(c) for c in keep))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -37,8 +37,8 @@ from .textblocks import Block, gram_hashes, mix64, row_blocks, words
 
 N_WORDS = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction
-MISS = 1e-4
-MINIMA = 240
+MISS = 1e-5
+MINIMA = 256
 BLOCK_DOCS = 400
 BLOCK_GRAMS = 1_000_000
 COLUMNS = 4096

@@ -17,14 +17,11 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, texts_of
-from .textblocks import row_blocks
+from .common import rewritten, staged, texts_of
 
 MIN_LINES = 3
 HAS_WORD = r"[^ \t-\r]"
@@ -62,25 +59,18 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return last.join(first, ["left", "right"]).filter(F.struct("doc_id", "at") != F.col("one")).select("doc_id", "at")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id``, ``n_lines`` (with words), ``n_removed`` and the cleaned ``text`` of each document.
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``n_lines`` (with words), ``n_removed``, the cleaned ``text`` and the ``keep`` columns.
 
     ``docs`` needs ``doc_id`` (unique) and ``text``.
     """
-    docs = texts_of(docs)
-    starts = repeated_runs(docs, min_lines).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))  # at most one per line of the document
+    starts = repeated_runs(texts_of(docs), min_lines).groupBy("doc_id").agg(F.collect_list("at").alias("_starts"))  # at most one per line of the document
+    own = [("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]
 
-    def cut(text: str, starts: list[int] | None) -> tuple[int, int, str]:
+    def cut(text: str, starts: list[int] | None) -> tuple:
         lines = text.split("\n")
         real = [i for i, x in enumerate(lines) if x.encode().split()]
         gone = {real[k] for s in starts or () for k in range(s, s + min_lines)}
         return len(real), len(gone), "\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, starts = b.column("text").to_pylist(), b.column("starts").to_pylist()
-            for lo, hi in row_blocks(texts, 4 << 20):
-                got = list(map(cut, texts[lo:hi], starts[lo:hi]))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_lines", "n_removed", "text"])
-
-    return docs.join(starts, "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string")
+    return rewritten(texts_of(docs, keep).join(starts, "doc_id", "left"), "_starts", cut, own, keep)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts_of
+from .common import rewritten, staged, texts_of
 from .textblocks import Block, gram_hashes, row_blocks, words
 
 WINDOW = 35
@@ -260,19 +260,16 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return b"".join(out).decode(), len(starts), removed
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed`` and the cleaned ``text`` of each document.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_removed``, the cleaned ``text`` and the ``keep`` columns of each document.
 
     ``docs`` needs ``doc_id`` (unique) and ``text``.
     """
-    docs = texts_of(docs)
-    spans = repeated_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))  # at most one per word of the document
+    spans = repeated_spans(texts_of(docs), window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))  # at most one per word of the document
+    own = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
-            for lo, hi in row_blocks(texts, 4 << 20):
-                got = [cut_words(t, [(x["from"], x["to"]) for x in s or ()]) for t, s in zip(texts[lo:hi], spans[lo:hi], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(zip(*((n, r, t) for t, n, r in got), strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_words", "n_removed", "text"])
+    def cut(text: str, spans: list[dict] | None) -> tuple:
+        out, n, removed = cut_words(text, [(x["from"], x["to"]) for x in spans or ()])
+        return n, removed, out
 
-    return docs.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return rewritten(texts_of(docs, keep).join(spans, "doc_id", "left"), "_spans", cut, own, keep)
