@@ -239,7 +239,7 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, threshold: tuple[int, int
     copies = staged(full.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
     reps = full.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     bucket = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))  # the band's number is in the hash
-    centre = bucket.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").drop("last")
+    centre = staged(bucket.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").drop("last"), "centres")  # so that a large bucket can be split in the join
     ties = bucket.join(centre, "bucket").filter("rep <> centre").select(F.col("rep").alias("src"), F.col("centre").alias("dst"))
     clusters = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     member = clusters.join(copies.select("rep", "copies"), "rep").join(full.select(F.col("doc_id").alias("rep"), "n_grams"), "rep")
@@ -251,7 +251,7 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, threshold: tuple[int, int
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("rep").alias("src"), F.col("tie").alias("dst")))
     of_copy = copies.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    of_copy = of_copy.select("one", "two", "rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of_copy = staged(of_copy.select("one", "two", "rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     with_copy = full.select("doc_id", "one", "two").join(of_copy, ["one", "two"])
     alone = sig.filter("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return with_copy.select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_links").unionByName(alone)

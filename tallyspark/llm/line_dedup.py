@@ -35,7 +35,7 @@ def _ids(docs: DataFrame, min_lines: int) -> DataFrame:
 
 def _shared(names: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose name another row has too."""
-    often = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
+    often = staged(names.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n"), "often")  # so that a common name's rows can be split in the join
     return names.join(often, keys, "left_semi")
 
 
@@ -56,6 +56,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     last = _pairs(names, min_lines - depth) if min_lines > 1 else names.select("doc_id", "at", F.col("name").alias("left"), F.col("name").alias("right"))
     last = staged(last, "lines")
     first = last.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("one")).filter("n >= 2")
+    first = staged(first, "first")
     return last.join(first, ["left", "right"]).filter(F.struct("doc_id", "at") != F.col("one")).select("doc_id", "at")
 
 
