@@ -231,6 +231,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """Word spans to remove: ``doc_id``, ``from``, ``to`` (exclusive); they may overlap."""
     runs = staged(_runs(docs, window, gram), "runs")
     anchors = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("differ")).filter("n >= 2").drop("n")
+    anchors = staged(anchors, "anchors")  # so that a common anchor's rows can be split in the join
     rep = staged(runs.join(anchors, "key"), "repeated")
     sure = rep.filter("NOT differ").select("doc_id", F.col("a").alias("from"), (F.col("b") + window).alias("to"))
     doubt = rep.filter("differ")
