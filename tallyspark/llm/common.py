@@ -41,16 +41,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads (between the rounds of an iteration)."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def texts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``text`` (null as empty) and the columns to keep, as one struct named ``_kept``.
 

@@ -1,32 +1,38 @@
-"""Connected components of a graph in Spark, by smallest labels with pointer jumping."""
+"""Connected components of a graph in Spark, by contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import staged
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label`` (smallest node of its component) for the nodes of edges (``src``, ``dst``), long.
 
-    Each round every node takes the smallest label next to it, then its label's label, so paths of
-    stars need few rounds. Aggregates are partial before each shuffle, and joins have one row per
-    key on one side, so a node with very many edges is split like any skewed join. Rounds are
-    written to the shared folder; the loop ends when no label changes.
+    Each round gives every node a random rank, joins it to the neighbour of lowest rank unless its own
+    is lower, and rewrites the edges between what is left; stars and paths alike shrink by a constant
+    factor, and each edge is read twice a round. Then the rounds' choices are followed from the first to the last.
+    Aggregates are partial before each shuffle, and joins have one row per key on one side, so a node
+    with very many edges is split like any skewed join. Rounds are written to the shared folder.
     """
-    both = staged(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "edges")
-    labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["src"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        lower = staged(lower, "labels")
-        jump = lower.select(F.col("node").alias("via"), F.col("label").alias("root"))
-        moved = staged(lower.join(jump, lower["label"] == jump["via"], "left").select("node", "old", F.coalesce("root", "label").alias("label")), "labels")
-        changed = moved.filter("label <> old").limit(1).count()
-        drop_staged(labels, lower)
-        labels = moved.select("node", "label")
-        if not changed:
-            drop_staged(both)
-            return labels
+    tidy = lambda e, a, b: e.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct()
+    left = staged(tidy(edges, "src", "dst"), "edges")
+    chosen: list[DataFrame] = []
+    while left.limit(1).count():
+        rank = lambda c: F.xxhash64(c, F.lit(len(chosen)))  # noqa: B023, E731
+        near = left.select(F.col("src").alias("node"), F.col("dst").alias("by")).union(left.select("dst", "src"))
+        best = near.groupBy("node").agg(F.min_by("by", rank("by")).alias("by"))
+        joined = staged(best.select("node", F.when(rank("by") < rank("node"), F.col("by")).otherwise(F.col("node")).alias("into")), "joined")
+        chosen.append(joined)
+        a, b = joined.select(F.col("node").alias("src"), F.col("into").alias("a")), joined.select(F.col("node").alias("dst"), F.col("into").alias("b"))
+        left = staged(tidy(left.join(a, "src").join(b, "dst"), "a", "b"), "edges")
+    if not chosen:
+        return left.select(F.col("src").alias("node"), F.col("dst").alias("label"))
+    root = chosen[0].select("node", F.col("into").alias("root"))
+    for nxt in chosen[1:]:
+        root = root.join(nxt.select(F.col("node").alias("root"), "into"), "root", "left").select("node", F.coalesce("into", "root").alias("root"))
+    root = staged(root, "roots")
+    least = staged(root.groupBy("root").agg(F.min("node").alias("label")), "labels")
+    return root.join(least, "root").select("node", "label")
