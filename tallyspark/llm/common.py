@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .textblocks import row_blocks
 
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _own_dirs: dict[str, str] = {}
 
 
@@ -41,11 +43,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about ``BATCH_BYTES`` from now on, unless the session has a size of its own.
+
+    A batch is held in the JVM, in the Python worker and there again as strings, by every worker of an executor.
+    """
+    if spark.conf.get(_BATCH_BYTES, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def texts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``text`` (null as empty) and the columns to keep, as one struct named ``_kept``.
 
     Other columns are left out, so they never clash with an operator's own.
     """
+    bounded_batches(docs.sparkSession)
     kept = [F.struct(*(F.col(c) for c in keep)).alias("_kept")] if keep else []
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *kept)
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textblocks import LETTER, Block, char_classes, mix64, row_blocks
 
 BUCKETS = 1 << 14
@@ -102,6 +103,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame) -> LanguageModel:
     """Model from all rows of ``docs`` with ``text`` and ``lang``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +137,7 @@ def fit(docs: DataFrame) -> LanguageModel:
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``languages`` (the selected set) of each whole text."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textblocks import row_blocks
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 8, 2, 24, 16
@@ -181,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet | N
 
 def score(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score`` of each whole text."""
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     if net is None:
         return kept.select(*keep, F.lit(0.5).alias("score"))

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 SEP = np.uint32(0x110000)  # outside Unicode: no text holds it
 
 U = np.uint64
