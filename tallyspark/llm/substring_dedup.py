@@ -224,7 +224,11 @@ def _hot_hits(segments: DataFrame, window: int) -> DataFrame:
     w = F.split(F.col("segment").cast("string"), " ")
     each = segments.select("key", "content", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.array_join(F.slice(w, i, window), " "))).alias("first", "text"))
     often = each.groupBy("text").agg(F.sum("n").alias("places")).filter("places >= 2")
-    return each.join(often, "text").select("key", "content", "first", F.col("first").alias("last"))
+    of_segment = each.join(often, "text").groupBy("key", "content").agg(F.array_sort(F.collect_set("first")).alias("hits"))  # at most one per window of an anchor
+    begins = F.filter("hits", lambda x: ~F.array_contains("hits", x - 1))
+    ends = F.filter("hits", lambda x: ~F.array_contains("hits", x + 1))
+    runs = of_segment.select("key", "content", F.explode(F.arrays_zip(begins.alias("first"), ends.alias("last"))).alias("run"))
+    return runs.select("key", "content", F.col("run")["first"].alias("first"), F.col("run")["last"].alias("last"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -239,8 +243,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     segments = staged(_segment_texts(each.select("key", "content", "n", "one.*"), docs, window), "segments")
     hot = segments.groupBy("key").count().filter(F.col("count") > HOT_SEGMENTS).select("key")
     hits = _shards(segments.join(hot, "key", "left_anti"), window).unionByName(_hot_hits(segments.join(hot, "key", "left_semi"), window))
-    found = doubt.join(hits, ["key", "content"]).select("doc_id", (F.col("a") + F.col("first")).alias("from"), (F.col("a") + F.col("last") + window).alias("to"))
-    return sure.unionByName(found)
+    hits = hits.groupBy("key", "content").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
+    hits = staged(hits, "hits")  # one row per segment, so that the join makes one per place and a common segment's places can be split
+    found = doubt.join(hits, ["key", "content"]).select("doc_id", "a", F.explode("hits").alias("hit"))
+    return sure.unionByName(found.select("doc_id", (F.col("a") + F.col("hit.first")).alias("from"), (F.col("a") + F.col("hit.last") + window).alias("to")))
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
