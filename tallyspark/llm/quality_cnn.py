@@ -164,11 +164,16 @@ class ByteNet:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet | None:
     """Network from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``quality``)."""
     known = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
-    got = [r for q in (0, 1) for r in rows.filter(F.col("quality") == q).orderBy("draw", "doc_id").limit(sample // 2).collect()]
-    label = np.array([r["quality"] for r in got], np.float32)
-    if len(set(label.tolist())) < 2:
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = whole.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id").join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    # Ids are drawn first: each task sends its lowest ones to the driver, and texts are fetched for those drawn alone.
+    drawn = [r for q in (0, 1) for r in rows.filter(F.col("quality") == q).orderBy("draw", "doc_id").limit(sample // 2).collect()]
+    if len({r["quality"] for r in drawn}) < 2:
         return None
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in drawn], docs.select("doc_id").schema).distinct()  # at most ``sample`` rows
+    fetched = {r["doc_id"]: r["text"] for r in whole.join(F.broadcast(chosen), "doc_id", "left_semi").collect()}
+    got = [{"text": fetched[r["doc_id"]], "quality": r["quality"]} for r in drawn]
+    label = np.array([r["quality"] for r in got], np.float32)
     texts = [r["text"].encode() for r in got]
     aside = np.arange(len(got)) % 5 == 4
     net = ByteNet.new()
