@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines go."""
-    return _documents(line_dedup.line_dedup(docs, keep=_KEPT))
+    return _documents(line_dedup.line_dedup(docs, keep=_KEPT, min_words=line_dedup.MIN_WORDS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

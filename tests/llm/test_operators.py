@@ -86,6 +86,27 @@ def test_lines(docs, m):
         assert got[k].text == "\n".join(x for i, x in enumerate(lines) if i not in gone) and got[k].lang == lang
 
 
+@pytest.mark.parametrize("m", [1, 3, 5])
+def test_short_runs(spark, docs, m):
+    more = ["Terms apply to all of it.", "Terms apply to all of it.", "ok", "x\nok", "ok", "a b\nc d e", "z\n\na b\n \nc d e\nq", "Yes."]
+    rows = [*ROWS, *((100 + i, t, None, 1, "x", 2, "k") for i, t in enumerate(more))]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), m, min_words=5).collect()}
+    seen = set()
+    for k, t, *_ in rows:
+        lines = (t or "").split("\n")
+        real = [i for i, x in enumerate(lines) if x.encode().split()]
+        gone = set()
+        for n in range(1, m + 1):
+            for s in range(len(real) - n + 1):
+                w = tuple(lines[j] for j in real[s : s + n])
+                if w in seen and (n == m or n == len(real) or sum(len(x.encode().split()) for x in w) >= 5):
+                    gone |= set(real[s : s + n])
+                seen.add(w)
+        assert got[k].text == "\n".join(x for i, x in enumerate(lines) if i not in gone) and (got[k].n_lines, got[k].n_removed) == (len(real), len(gone))
+    if m == 3:
+        assert [got[k].text for k in (6, 101, 103, 104, 106)] == ["", "", "x\nok", "", "z\n\n \nq"]
+
+
 def test_jaccard(docs, empty):
     for block in (400, 2):  # clusters in one block, and dealt into many
         jaccard_join.BLOCK_DOCS = block
