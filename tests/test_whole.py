@@ -21,3 +21,8 @@ def held(spark, name, sql):
 def test_best_release(spark):
     got = held(spark, "best_release", E.oracle_sql()["best_release"].replace(" WHERE o_custkey <= 60", ""))
     assert max(int(r[0]) for r in got) > 60
+
+
+def test_table_render(spark):
+    got = held(spark, "table_render", E.oracle_sql()["table_render"].replace(" WHERE y = 1996", ""))
+    assert {r[1][:6] for r in got} > {"FY1996"}
