@@ -26,3 +26,23 @@ def test_best_release(spark):
 def test_table_render(spark):
     got = held(spark, "table_render", E.oracle_sql()["table_render"].replace(" WHERE y = 1996", ""))
     assert {r[1][:6] for r in got} > {"FY1996"}
+
+
+def beyond(name, columns):
+    """The SQL's releases, and ``columns`` of each document beyond them (``document_id``, and ``figure`` or null)."""
+    sql = E.oracle_sql()
+    found = f"SELECT document_id, figure FROM ({sql['detect_figure_spans']}) WHERE document_id LIKE 'script-%'"
+    answers = f"SELECT replace(document_id, 'script-', 'qa-') AS document_id, NULL AS figure FROM ({found})"
+    return f"SELECT * FROM ({sql[name]}) WHERE document_id LIKE 'release-%' UNION ALL SELECT {columns} FROM ({found} UNION ALL {answers})"
+
+
+def test_extracted_claims(spark):
+    """Figures of scripts have no metric in reach; answers have no figures."""
+    got = held(spark, "extracted_claims", beyond("extracted_claims", "document_id, 'unidentified', figure, 'low'") + " WHERE figure IS NOT NULL")
+    assert len({r[0] for r in got if r[0].startswith("script-")}) * 2 == len(got)
+
+
+def test_publishable(spark):
+    """The tie-out claims are those of releases, so nothing blocks a script or its answers."""
+    got = held(spark, "publishable", beyond("publishable", "document_id, true"))
+    assert {r[0].split("-")[0] for r in got} == {"release", "script", "qa"}
