@@ -3,21 +3,24 @@
 A window is ``window`` consecutive words. Every word covered by a window whose word sequence also
 starts anywhere else is removed, in all its places. Windows are judged on the input.
 
-Comparing every document with automata of the whole corpus would take time that grows with its
-square. So the reference is sharded by content:
-
-1. The anchor of a window is its smallest hash of ``GRAM`` words. Windows with one anchor form a
-   segment. Equal windows have equal anchors, so only segments whose anchor occurs twice matter.
-2. Anchors whose segments are all equal need no search. Of the others each distinct segment is kept
-   once with its count, and goes to the shard of its anchor.
-3. A shard builds the suffix automaton of its segments, bounded in words, and streams them through:
-   the matching statistic at a word is the longest run ending there that occurs twice, and where it
-   reaches ``window`` a repeated window ends. Anchors with more segments than a shard may hold are
-   dealt out again by whole windows, which takes any number of them.
-4. The spans go back to all places of their segments, and are cut out of the texts.
-
-Cases: null text counts as empty; texts shorter than a window lose nothing; equal rows remove each
-other; an empty table gives no rows. What is left keeps its white space. Extra columns are ignored.
+Here the reference is the corpus itself. It grows with the corpus, so its automata can't be broadcast,
+and meeting every document with every shard would take time that grows with the square. So
+shards are dealt by content, and a document meets only the shards that hold something of it:
+
+1. The anchor of a window is its smallest hash of ``GRAM`` words. Consecutive windows with one anchor
+   form a segment. Equal windows have equal anchors, so only anchors with two places matter.
+2. Each distinct segment of such an anchor is kept once, with its number of places, and goes to the
+   shard of its anchor. Shards are bounded in words.
+3. A shard builds the suffix automaton of its segments and streams them through: the matching
+   statistic at a word is the longest run ending there that occurs twice, and where it reaches
+   ``window`` a repeated window ends. Consecutive ones are one maximal span.
+4. An anchor with more words than a shard may hold is dealt out again by whole windows, counted by
+   128 bits of hash; that takes any number of segments, and gives the same spans.
+5. Every segment's spans go back to its places, one row each, and are cut out of the texts.
+
+Cases: null text counts as empty; texts shorter than a window lose nothing; equal texts of two ids
+remove each other; rows of one id with unequal texts are documents of their own, equal rows remove
+each other; an empty table gives no rows. What is left keeps its white space. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rewritten, staged, texts_of
-from .textblocks import Block, gram_hashes, row_blocks, words
+from .textblocks import Block, gram_hashes, mix64, row_blocks, words
 
 WINDOW = 35
-GRAM = 4
+GRAM = 12
 SHARD_WORDS = 200_000
-HOT_SEGMENTS = 2000
 _POSITION_BITS = np.uint64(28)
 _WORD = re.compile(rb"[^ \t-\r]+")
 
@@ -152,50 +154,65 @@ class SuffixAutomaton:
             yield size if self.places[at] >= 2 and at else min(size, self.twice[at])
 
 
-def shard_hits(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Repeated windows of a shard's segments ``(key, content, count, text)``: key, content, first, last."""
+def shard_hits(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """Repeated windows of a shard's segments ``(key, content, count, text)``: key, content, first and last of each span."""
     automaton = SuffixAutomaton()
     split = [r[3].split() for r in rows]
     for (_, _, n, _), seq in zip(rows, split, strict=True):
         automaton.add(seq, min(n, 2))
     automaton.close()
     for (key, content, _, _), seq in zip(rows, split, strict=True):
-        hits = [i - window + 1 for i, m in enumerate(automaton.statistics(seq)) if m >= window]
-        begin = 0
-        for i in range(1, len(hits) + 1):
-            if i == len(hits) or hits[i] != hits[i - 1] + 1:
-                yield key, content, hits[begin], hits[i - 1]
-                begin = i
+        first, last = [], []
+        for i, m in enumerate(automaton.statistics(seq), 1 - window):
+            if m >= window:
+                if last and last[-1] == i - 1:
+                    last[-1] = i
+                else:
+                    first.append(i)
+                    last.append(i)
+        if first:
+            yield key, content, first, last
+
+
+def window_hashes(segment: bytes, window: int) -> np.ndarray:
+    """Two 64-bit hashes (rows) of each window of a segment."""
+    _, _, hashes = words(Block([segment.decode()]))
+    return np.stack([gram_hashes(hashes, window), gram_hashes(mix64(hashes), window)]).view(np.int64)
+
+
+HITS = "key long, content long, first array<int>, last array<int>"
 
 
 def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, names = b.column("text").to_pylist(), b.column("doc_id").to_numpy()
+            texts, names, tids = b.column("text").to_pylist(), b.column("doc_id").to_numpy(), b.column("tid").to_numpy()
             for lo, hi in row_blocks(texts):
                 doc, first, last, key, content = anchor_runs(Block(texts[lo:hi]), window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key), pa.array(content)], names=["doc_id", "a", "b", "key", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][doc]), pa.array(tids[lo:hi][doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key), pa.array(content)], names=["doc_id", "tid", "a", "b", "key", "content"])
 
-    return docs.mapInArrow(run, "doc_id long, a int, b int, key long, content long")
+    return docs.mapInArrow(run, "doc_id long, tid int, a int, b int, key long, content long")
 
 
 def _segment_texts(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """Texts of the segments (key, content, n, doc_id, a, b), fetched from their documents."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "key", "content", "n")).alias("segments"))  # at most one per word of the document
+    """Texts of the segments (key, content, n, large, doc_id, tid, a, b), fetched from their documents."""
+    lists = wanted.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("a", "b", "key", "content", "n", "large")).alias("segments"))  # at most one per word of the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, segments = b.column("text"), b.column("segments")
             for i in range(b.num_rows):
                 w = texts[i].as_py().encode().split()
-                rows = segments[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], pa.int64()), pa.array([r["content"] for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int64()), pa.array([b" ".join(w[r["a"] : r["b"] + window]) for r in rows], pa.binary())], names=["key", "content", "n", "segment"])
+                rows = segments.slice(i, 1).flatten()
+                own = {c: rows.field(c) for c in ("key", "content", "n", "large")}
+                cut = [b" ".join(w[lo : hi + window]) for lo, hi in zip(rows.field("a").to_pylist(), rows.field("b").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.values(), pa.array(cut, pa.binary())], names=[*own, "segment"])
 
-    return docs.join(lists, "doc_id").mapInArrow(run, "key long, content long, n long, segment binary")
+    return docs.join(lists, ["doc_id", "tid"]).mapInArrow(run, "key long, content long, n long, large boolean, segment binary")
 
 
-def _shards(segments: DataFrame, window: int) -> DataFrame:
-    """Hits of all anchors that fit a shard; rows of one anchor come together."""
+def _shards(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """Spans of all segments whose anchor fits a shard; those of one anchor come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -204,11 +221,14 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             hits = list(shard_hits(held, window))
             if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "content", "first", "last"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True), kinds, strict=True)], names=["key", "content", "first", "last"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "content", "n", "segment")), strict=True):
-                if words_held >= SHARD_WORDS and row[0] != held[-1][0]:
+                if held and row[:2] == held[-1][:2]:
+                    continue  # from an equal row
+                if words_held >= shard_words and row[0] != held[-1][0]:
                     yield from flush()
                     held, words_held = [], 0
                 held.append(row)
@@ -216,37 +236,47 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, first int, last int")
+    return segments.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, HITS)
+
 
+def _large_anchors(segments: DataFrame, window: int) -> DataFrame:
+    """Spans of the segments of anchors that fit no shard, by counting their windows."""
 
-def _hot_hits(segments: DataFrame, window: int) -> DataFrame:
-    """Hits of anchors with more segments than a shard holds, by counting their whole windows."""
-    w = F.split(F.col("segment").cast("string"), " ")
-    each = segments.select("key", "content", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.array_join(F.slice(w, i, window), " "))).alias("first", "text"))
-    often = each.groupBy("text").agg(F.sum("n").alias("places")).filter("places >= 2")
-    of_segment = each.join(often, "text").groupBy("key", "content").agg(F.array_sort(F.collect_set("first")).alias("hits"))  # at most one per window of an anchor
-    begins = F.filter("hits", lambda x: ~F.array_contains("hits", x - 1))
-    ends = F.filter("hits", lambda x: ~F.array_contains("hits", x + 1))
-    runs = of_segment.select("key", "content", F.explode(F.arrays_zip(begins.alias("first"), ends.alias("last"))).alias("run"))
-    return runs.select("key", "content", F.col("run")["first"].alias("first"), F.col("run")["last"].alias("last"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, content, n, segment in zip(*(b.column(c).to_pylist() for c in ("key", "content", "n", "segment")), strict=True):
+                one, two = window_hashes(segment, window)
+                same = [pa.array(np.full(len(one), x)) for x in (key, content, n)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two)], names=["key", "content", "n", "at", "one", "two"])
+
+    # Dealt by content, which spreads an anchor's segments over all tasks.
+    each = segments.dropDuplicates(["key", "content"]).repartition("content").mapInArrow(run, "key long, content long, n long, at int, one long, two long")
+    each = staged(each, "windows")
+    often = staged(each.groupBy("one", "two").agg(F.sum("n").alias("places")).filter("places >= 2").drop("places"), "often")
+    of_segment = each.join(often, ["one", "two"]).groupBy("key", "content").agg(F.array_sort(F.collect_set("at")).alias("hits"))  # at most one per window of a segment
+    edge = lambda step: F.filter("hits", lambda x: ~F.array_contains("hits", x + step))
+    return of_segment.select("key", "content", edge(-1).alias("first"), edge(1).alias("last"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Word spans to remove: ``doc_id``, ``from``, ``to`` (exclusive); they may overlap."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Word spans to remove of each document of ``docs`` (``doc_id``, ``tid``, ``text``) that has any.
+
+    ``doc_id``, ``tid`` and ``spans`` (structs of ``from`` and ``to``, exclusive, which may overlap).
+    """
     runs = staged(_runs(docs, window, gram), "runs")
-    anchors = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("content") != F.max("content")).alias("differ")).filter("n >= 2").drop("n")
+    # Any place of a segment will do for its text: all columns of one row are taken.
+    place = [F.first(c).alias(c) for c in ("doc_id", "tid", "a", "b")]
+    each = staged(runs.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), *place), "each")
+    size = F.sum(F.col("b") - F.col("a") + window)
+    anchors = each.groupBy("key").agg(F.sum("n").alias("places"), (size > shard_words).alias("large")).filter("places >= 2").drop("places")
     anchors = staged(anchors, "anchors")  # so that a common anchor's rows can be split in the join
-    rep = staged(runs.join(anchors, "key"), "repeated")
-    sure = rep.filter("NOT differ").select("doc_id", F.col("a").alias("from"), (F.col("b") + window).alias("to"))
-    doubt = rep.filter("differ")
-    each = doubt.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "a", "b")).alias("one"))
-    segments = staged(_segment_texts(each.select("key", "content", "n", "one.*"), docs, window), "segments")
-    hot = segments.groupBy("key").count().filter(F.col("count") > HOT_SEGMENTS).select("key")
-    hits = _shards(segments.join(hot, "key", "left_anti"), window).unionByName(_hot_hits(segments.join(hot, "key", "left_semi"), window))
-    hits = hits.groupBy("key", "content").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
-    hits = staged(hits, "hits")  # one row per segment, so that the join makes one per place and a common segment's places can be split
-    found = doubt.join(hits, ["key", "content"]).select("doc_id", "a", F.explode("hits").alias("hit"))
-    return sure.unionByName(found.select("doc_id", (F.col("a") + F.col("hit.first")).alias("from"), (F.col("a") + F.col("hit.last") + window).alias("to")))
+    segments = staged(_segment_texts(each.join(anchors, "key"), docs, window), "segments")
+    hits = _shards(segments.filter("NOT large"), window, shard_words).unionByName(_large_anchors(segments.filter("large"), window))
+    hits = staged(hits, "hits")  # one row per segment: the join makes one per place, and a common segment's places can be split
+    at = lambda f, l: F.struct((F.col("a") + f).alias("from"), (F.col("a") + l + window).alias("to"))  # noqa: E731, E741
+    found = runs.join(hits, ["key", "content"], "left").select("doc_id", "tid", F.zip_with("first", "last", at).alias("spans"))
+    spans = found.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one per word of the document
+    return spans.filter(F.size("spans") > 0)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -267,16 +297,17 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return b"".join(out).decode(), len(starts), removed
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, the cleaned ``text`` and the ``keep`` columns of each document.
 
-    ``docs`` needs ``doc_id`` (unique) and ``text``.
+    ``docs`` needs ``doc_id`` and ``text``.
     """
-    spans = repeated_spans(texts_of(docs), window, gram).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("_spans"))  # at most one per word of the document
+    tid = F.hash("text").alias("tid")  # tells rows of one id apart
+    spans = repeated_spans(texts_of(docs).select("doc_id", tid, "text"), window, gram, shard_words)
     own = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]
 
     def cut(text: str, spans: list[dict] | None) -> tuple:
         out, n, removed = cut_words(text, [(x["from"], x["to"]) for x in spans or ()])
         return n, removed, out
 
-    return rewritten(texts_of(docs, keep).join(spans, "doc_id", "left"), "_spans", cut, own, keep)
+    return rewritten(texts_of(docs, keep).withColumn("tid", tid).join(spans, ["doc_id", "tid"], "left"), "spans", cut, own, keep)

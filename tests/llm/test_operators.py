@@ -47,18 +47,24 @@ def empty(spark):
 
 
 def test_substring(docs, empty):
-    for hot, shard in ((2000, 200_000), (0, 200_000), (2000, 1)):  # whole windows for every anchor; a shard for each anchor
-        substring_dedup.HOT_SEGMENTS, substring_dedup.SHARD_WORDS = hot, shard
-        got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
-        seen = Counter(tuple(w[i : i + 35]) for w in WORDS.values() for i in range(len(w) - 34))
+    seen = Counter(tuple(w[i : i + 35]) for w in WORDS.values() for i in range(len(w) - 34))
+    for shard in (200_000, 300, 1):  # one shard; anchors of both kinds; whole windows for every anchor
+        got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs, shard_words=shard).collect()}
+        assert len(got) == len(WORDS)
         for k, w in WORDS.items():
             gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
             assert got[k].text.encode().split() == [x for j, x in enumerate(w) if j not in gone], k
             assert (got[k].n_words, got[k].n_removed) == (len(w), len(gone))
-    substring_dedup.HOT_SEGMENTS, substring_dedup.SHARD_WORDS = 2000, 200_000
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_one_id_twice(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, "c " + b), (4, "d"), (4, "d"), (5, "e " + " ".join(f"e{i}" for i in range(50)))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == [(1, 60, 60), (1, 60, 60), (2, 61, 60), (3, 61, 60), (4, 1, 0), (4, 1, 0), (5, 51, 0)]
+
+
 def test_automaton():
     a = substring_dedup.SuffixAutomaton()
     seqs = [list(b"abcabcx"), list(b"bcab"), list(b"zzzz")]
