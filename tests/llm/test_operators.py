@@ -259,25 +259,55 @@ def test_classifier(spark, empty):
     assert quality_cnn.fit(df, df.filter("quality = 1").select("doc_id", "quality")) is None and quality_cnn.score(empty, None).count() == 0
 
 
-def test_search(spark):
-    rnd = np.random.default_rng(0)
-    x = rnd.standard_normal((300, 16)).astype(np.float32)
-    x[10:20] = x[10]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 16), (302, [None] + [1.0] * 15), (303, [float("nan")] + [1.0] * 15), (304, [float("inf")] + [1.0] * 15), (305, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    bit_search.QUERY_BLOCK, bit_search.CANDIDATE_BLOCK = 8, 64
-    got = [(r.query_id, r.rank, r.vec_id) for r in bit_search.nearest(df, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect()]
-    d = x.astype(np.float64)
+def brute_nearest(rows, k):
+    """Nearest of each query row (ids divisible by 20) by the measure itself; shorter vectors padded."""
+    dim = max(len(v) for _, v in rows)
+    ids = np.array([i for i, _ in rows])
+    d = np.array([[*v, *[0.0] * (dim - len(v))] for _, v in rows])
     want = []
-    for q in range(0, 300, 20):
+    for q in np.flatnonzero(ids % 20 == 0):
         score = (d[q] * d).cumsum(axis=1)[:, -1]
-        order = [j for j in sorted(range(300), key=lambda j: (-score[j], j)) if j != q][:5]
-        want += [(q, k + 1, j) for k, j in enumerate(order)]
-    assert got == want
+        order = [j for j in sorted(range(len(ids)), key=lambda j: (-score[j], ids[j])) if ids[j] != ids[q]][:k]
+        want += [(int(ids[q]), n + 1, int(ids[j]), float(score[j])) for n, j in enumerate(order)]
+    return sorted(want)
+
+
+def test_bit_search(spark, monkeypatch):
+    """Several cells, blocks and chunks; odd vectors; a short one; ties; a common vector; rows of one id; clashing columns."""
+    for name, value in (("QUERY_BLOCK", 8), ("CELLS_AT_ONCE", 100), ("LEAST_BLOCK", 32), ("BLOCK_BYTES", 1 << 12)):
+        monkeypatch.setattr(bit_search, name, value)
+    rng = np.random.default_rng(3)
+    middle = rng.standard_normal((4, 16)) * 3
+    x = np.concatenate([middle[i % 4] + rng.standard_normal(16) for i in range(200)] + [rng.standard_normal(16) for _ in range(100)]).reshape(-1, 16).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[7].tolist()) for i in range(310, 400)] + [(305, [1.0]), (40, x[3].tolist()), (41, x[41].tolist())]
+    odd = [(300, None), (301, [0.0] * 16), (302, [None] + [1.0] * 15), (303, [float("nan")] + [1.0] * 15), (304, [float("inf")] + [1.0] * 15), (306, []), (None, [1.0] * 16)]
+    df = spark.createDataFrame([(*r, "x", 1.0, 2) for r in rows + odd], "vec_id long, embedding array<float>, cell string, score double, row int").repartition(5)
+    for k in (5, 20):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in bit_search.nearest(df, F.col("vec_id") % 20 == 0, k).collect())
+        assert got == brute_nearest(rows, k)
     few = bit_search.nearest(df.filter("vec_id IN (0, 1, 2)"), F.col("vec_id") == 0, 20)
     assert few.count() == 2 and bit_search.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_bit_codes_choose():
+    """Bounds hold, and few of many vectors are reranked, with nearly all of the nearest among them."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((12000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn, centre = bit_search.rotation(64), np.zeros(64)
+    codes, norm, correction = bit_search.encode(x, turn)
+    q, seen = x[::200], [0, 0]
+    a, c, _ = bit_search.search_block(np.arange(0, 12000, 200), q, np.full(60, -np.inf), np.arange(12000), x, codes, norm, correction, centre, 20, turn, seen)
+    true = q @ x.T
+    true[np.arange(60), np.arange(0, 12000, 200)] = -9
+    want = {(i, j) for i in range(60) for j in np.argsort(-true[i])[:20]}
+    assert len(want & set(zip(a.tolist(), c.tolist(), strict=True))) >= 0.99 * len(want)
+    assert seen[1] < 0.4 * seen[0]
+    got = bit_search.Quantised.of(q, turn).products(codes, 64)
+    plain = (q @ turn) @ np.where(np.unpackbits(codes.view(np.uint8), axis=1)[:, :64] > 0, 1, -1).T / 8
+    assert np.abs(got - plain).max() < 0.05
+
+
 def test_pipeline(spark, tmp_path):
     pipe = pytest.importorskip("corpus_pipeline")
     rows = [(r[0], r[1], r[2], "s", len(r[1] or "")) for r in ROWS]
