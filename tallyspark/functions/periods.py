@@ -1,4 +1,7 @@
-"""Fiscal period keys ``FYyyyy[-Qn|-Hn|-9M|-FY]``: reading, arithmetic and inference, as Columns."""
+"""Fiscal period keys ``FYyyyy[-Qn|-Hn|-9M|-FY]``: reading, arithmetic and inference, as Columns.
+
+The patterns that the functions below read texts with are fixed values.
+"""
 
 from __future__ import annotations
 

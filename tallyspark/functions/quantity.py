@@ -111,13 +111,51 @@ def matches(value: Column, quantum: Column, source: Column) -> Column:
     return F.when(quantum <= 0, source == value).when(source >= 0, (low <= twice) & (twice < high)).otherwise((low < twice) & (twice <= high))
 
 
+def _magnitude(num: Column, den: Column, body) -> Column:
+    """``body`` of the quotient's parts: ``sign``, ``whole`` (its integer part without sign), and ``rest`` of ``by`` that it exceeds that by.
+
+    All are integers, in millionths of the operands, so that nothing is rounded. Null for no or a zero denominator.
+    """
+    units = lambda x: (F.abs(x).try_cast(DEC) * 1000000).try_cast("decimal(28,0)")
+    pair = F.struct(units(num).alias("n"), units(den).alias("d"), F.when((num < 0) == (den < 0), F.lit(1)).otherwise(F.lit(-1)).alias("sign"))
+
+    def split(p: Column) -> Column:
+        rest = p["n"] % p["d"]
+        parts = F.struct(p["sign"].alias("sign"), ((p["n"] - rest) / p["d"]).cast("decimal(28,0)").alias("whole"), rest.cast("decimal(28,0)").alias("rest"), p["d"].alias("by"))
+        return F.when(p["d"] > 0, _bound(parts, body))
+
+    return _bound(pair, split)
+
+
 def matches_fraction(value: Column, quantum: Column, num: Column, den: Column) -> Column:
-    """``matches`` for the source num / den, by cross-multiplication; null for no or a zero denominator."""
-    n, d = num.cast("decimal(24,4)"), den.cast("decimal(20,4)")
-    v, q = value.cast("decimal(14,4)"), quantum.cast("decimal(14,4)")
-    n, d = F.when(d < 0, -n).otherwise(n), F.when(d != 0, F.abs(d))
-    low, high, twice = (2 * v - q) * d, (2 * v + q) * d, 2 * n
-    return F.when(q <= 0, n == v * d).when(n >= 0, (low <= twice) & (twice < high)).otherwise((low < twice) & (twice <= high))
+    """``matches`` for the source num / den, exactly; null for no or a zero denominator.
+
+    A bound is compared with the quotient's integer part first; what is left of it lies between 0 and 1
+    and has at most seven digits, so its product with the denominator fits a decimal.
+    """
+
+    def body(p: Column) -> Column:
+        v, q = value.cast("decimal(30,7)") * p["sign"], quantum.cast("decimal(30,7)")
+        half = (q * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(30,7)")
+        over = lambda bound: (bound - p["whole"]).cast("decimal(31,7)")
+        share = lambda gap: gap.try_cast("decimal(8,7)") * p["by"]
+        at_least = lambda gap: F.when(gap <= 0, True).when(gap > 1, False).otherwise(F.coalesce(p["rest"] >= share(gap), F.lit(False)))
+        equal = lambda gap: F.when((gap < 0) | (gap >= 1), False).otherwise(p["rest"] == share(gap))
+        return F.when(q <= 0, equal(over(v))).otherwise(at_least(over(v - half)) & ~at_least(over(v + half)))
+
+    return _magnitude(num, den, body)
+
+
+def quotient(num: Column, den: Column, digits: int = 4) -> Column:
+    """num / den to so many digits after the point, half up; null for no or a zero denominator."""
+
+    def body(p: Column) -> Column:
+        twice = (p["rest"] * (2 * 10**digits) + p["by"]).cast("decimal(38,0)")
+        by = (p["by"] * 2).cast("decimal(30,0)")
+        part = ((twice - twice % by) / by).cast("decimal(8,0)") * F.lit(f"{10**-digits:.{digits}f}").cast("decimal(8,6)")
+        return ((p["whole"].try_cast("decimal(22,0)") + part) * p["sign"]).try_cast(DEC)
+
+    return _magnitude(num, den, body)
 
 
 def number_text(value: Column) -> Column:

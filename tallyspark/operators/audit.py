@@ -1,17 +1,22 @@
 """Hash-chained audit log: append, verify, export.
 
 An event's hash covers its canonical JSON (sorted keys, no spaces) with the hash before it. Building the
-chain is serial by nature: one tenant-independent chain per log, folded in one task over a batch.
-Verification is parallel: each row is compared with the row before it.
+chain is serial by nature: one tenant-independent chain per log, made by one task that streams a batch.
+Verification is parallel: each event is joined to the one before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
 TYPES = ("ingest", "bind", "verdict", "edit", "override", "sign_off")
+SEQ_PLACE = "\x00"  # stands for the number until it is known; JSON strings can't hold it
 EVENTS = "seq long, timestamp string, actor string, type string, tenant_id string, payload string, prev_hash string, hash string"
 
 
@@ -42,30 +47,35 @@ def _body(df: DataFrame) -> tuple[Column, Column]:
 def append(events: DataFrame, first_seq: int = 0, prev_hash: str = GENESIS) -> DataFrame:
     """Chained events from a batch with ``ord`` (its order), timestamp, actor, type, tenant_id and payload.
 
-    The fold needs the batch in one row; a log grows by batches of bounded size.
+    The canonical text is made in parallel but for the number and the hash before; one task then reads the
+    batch in order, row by row, and holds none of it.
     """
-    numbered = events.withColumn("seq", (F.row_number().over(Window.orderBy("ord")) - 1 + first_seq).cast("long"))
-    head, tail = _body(numbered)
-    rows = numbered.select(F.struct("seq", "timestamp", "actor", "type", "tenant_id", "payload", head.alias("head"), tail.alias("tail")).alias("e"))
-    link = "array<struct<prev_hash:string,hash:string>>"
-    start = F.struct(F.lit(prev_hash).alias("last"), F.array().cast(link).alias("out"))
+    events = events.withColumn("seq", F.lit(SEQ_PLACE))
+    head, tail = _body(events)
+    rows = events.select("ord", "timestamp", "actor", "type", "tenant_id", "payload", head.alias("head"), tail.alias("tail"))
 
-    def step(acc: Column, e: Column) -> Column:
-        h = F.sha2(F.concat(e["head"], acc["last"], e["tail"]), 256)
-        return F.struct(h.alias("last"), F.concat(acc["out"], F.array(F.struct(acc["last"].alias("prev_hash"), h.alias("hash")))).alias("out"))
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq, last = first_seq, prev_hash
+        for b in batches:
+            links = []
+            for before, after in zip(b["head"], b["tail"], strict=True):
+                was, last = last, hashlib.sha256(f"{before}{last}{after.replace(SEQ_PLACE, str(seq), 1)}".encode()).hexdigest()
+                links.append((seq, was, last))
+                seq += 1
+            made = pd.DataFrame(links, columns=["seq", "prev_hash", "hash"], index=b.index)
+            yield b.drop(columns=["ord", "head", "tail"]).join(made)[[c.split()[0] for c in EVENTS.split(", ")]]
 
-    all_ = rows.agg(F.array_sort(F.collect_list("e")).alias("es"))
-    linked = all_.select(F.explode(F.arrays_zip("es", F.aggregate("es", start, step, lambda acc: acc["out"]).alias("links"))).alias("z"))
-    return linked.select("z.es.seq", "z.es.timestamp", "z.es.actor", "z.es.type", "z.es.tenant_id", "z.es.payload", "z.links.prev_hash", "z.links.hash")
+    return rows.repartition(1).sortWithinPartitions("ord").mapInPandas(chain, EVENTS)
 
 
 def verify(chain: DataFrame) -> DataFrame:
-    """One row: ``ok``, ``first_bad_seq`` and ``reason`` of the first break."""
-    w = Window.orderBy("seq")
+    """One row: ``ok``, ``first_bad_seq`` and ``reason`` of the first break. Each event is joined to the one before it."""
     head, tail = _body(chain)
-    place, before = F.row_number().over(w) - 1, F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))
-    why = F.when(F.col("seq") != place, "sequence").when(F.col("prev_hash") != before, "link").when(F.col("hash") != F.sha2(F.concat(head, F.col("prev_hash"), tail), 256), "hash")
-    bad = chain.select("seq", why.alias("why")).filter("why IS NOT NULL").agg(F.min_by(F.struct("seq", "why"), "seq").alias("b"))
+    own = chain.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("prev_hash").alias("prev_hash"), F.min("hash").alias("hash"), F.min(F.sha2(F.concat(head, F.col("prev_hash"), tail), 256)).alias("due"))
+    before = chain.groupBy((F.col("seq") + 1).alias("seq")).agg(F.min("hash").alias("before"))
+    rows = own.join(before, "seq", "left").withColumn("before", F.when(F.col("seq") == 0, GENESIS).otherwise(F.col("before")))
+    why = F.when((F.col("n") > 1) | F.col("before").isNull(), "sequence").when(F.col("prev_hash") != F.col("before"), "link").when(F.col("hash") != F.col("due"), "hash")
+    bad = rows.select("seq", why.alias("why")).filter("why IS NOT NULL").agg(F.min_by(F.struct("seq", "why"), "seq").alias("b"))
     return bad.select(F.col("b").isNull().alias("ok"), F.col("b.seq").alias("first_bad_seq"), F.col("b.why").alias("reason"))
 
 

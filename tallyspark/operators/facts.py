@@ -36,9 +36,11 @@ def latest_facts(facts: DataFrame) -> DataFrame:
 
 
 def fact_scopes(facts: DataFrame) -> DataFrame:
-    """One row per scope with ``latest`` and the ``older`` versions, oldest first."""
-    all_ = F.array_sort(F.collect_list(F.struct(*_VERSION)))
-    return facts.groupBy(*SCOPE).agg(all_.alias("v")).select(*SCOPE, F.element_at("v", -1).alias("latest"), F.slice("v", F.lit(1), F.size("v") - 1).alias("older"))
+    """One row per scope with its ``latest`` version and the value and unit of each ``older`` one that was filed, oldest first."""
+    filed = F.when(is_filed(F.col("source_type"), F.col("source_ref")), F.struct("as_of", "ingest_seq", "value", "unit"))
+    both = facts.groupBy(*SCOPE).agg(F.max(F.struct(*_VERSION)).alias("latest"), F.array_sort(F.collect_list(filed)).alias("filed"))
+    last = F.struct(*(F.col("latest")[c].alias(c) for c in ("as_of", "ingest_seq", "value", "unit")))
+    return both.select(*SCOPE, "latest", F.filter("filed", lambda v: v != last).alias("older"))
 
 
 def restatements(values: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -47,10 +49,10 @@ def restatements(values: DataFrame, group: list[str], order: list[str]) -> DataF
     return values.withColumn("_before", F.lag("value").over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("value"))).drop("_before")
 
 
-def within_lookback(values: DataFrame, quarters: int) -> DataFrame:
-    """Rows whose period lies in the last ``quarters`` up to the newest period of all rows."""
-    newest = values.agg(F.max(period_rank(F.col("period"))).alias("_newest"))
-    return values.crossJoin(F.broadcast(newest)).filter(period_rank(F.col("period")) > F.col("_newest") - quarters).drop("_newest")  # one row
+def within_lookback(values: DataFrame, quarters: int, by: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """Rows whose period lies in the last ``quarters`` up to the newest period of their company (all its metrics)."""
+    newest = values.groupBy(*by).agg(F.max(period_rank(F.col("period"))).alias("_newest"))
+    return values.join(newest, list(by)).filter(period_rank(F.col("period")) > F.col("_newest") - quarters).select(*values.columns)
 
 
 def coverage(facts: DataFrame, shown: int = 6) -> DataFrame:

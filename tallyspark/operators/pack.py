@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rules
+from .facts import latest_facts
+from .staging import settled
 from .verify import VERDICTS, parsed, verify_claims
 
 DOC = ["tenant_id", "document_id"]
@@ -22,9 +24,10 @@ def publishable(documents: DataFrame, verdicts: DataFrame, findings: DataFrame)
 
 
 def verify_documents(documents: DataFrame, claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verdicts and findings of all documents."""
-    read = parsed(claims, metrics).persist()  # nine rules read it; a lost part is worked out again
-    return verify_claims(claims, facts, metrics), rules.document_findings(documents, read, facts, metrics)
+    """Verdicts and findings of all documents. What nine rules read is worked out once."""
+    claims, documents, facts = settled(claims), settled(documents), settled(facts)
+    read, latest = settled(parsed(claims, metrics)), settled(latest_facts(facts))
+    return verify_claims(claims, facts, metrics), rules.document_findings(documents, read, latest, metrics)
 
 
 def verify_close_pack(documents: DataFrame, claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

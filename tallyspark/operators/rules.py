@@ -110,11 +110,18 @@ def directional(documents: DataFrame, claims: DataFrame, facts: DataFrame) -> Da
 
 
 def _disagree(claims: DataFrame, group: list[str]) -> DataFrame:
-    """Groups with two uses neither of which rounds to the other. Uses are told apart by value and precision first."""
-    use = claims.filter("q IS NOT NULL").groupBy(*group, "q").count()
-    sets = use.groupBy(*group).agg(F.collect_list("q").alias("uses")).filter(F.size("uses") > 1)
-    agree = lambda a, b: (a["unit"] == b["unit"]) & (Q.matches(a["value"], a["quantum"], b["value"]) | Q.matches(b["value"], b["quantum"], a["value"]))
-    return sets.filter(F.exists("uses", lambda a: F.exists("uses", lambda b: ~agree(a, b))))
+    """Groups with two uses neither of which rounds to the other, or of unequal units.
+
+    The coarser use decides of two. So at each precision the extremes are held against the extremes
+    of all uses that are as precise or more; a group has a few dozen precisions at most.
+    """
+    use = claims.filter("q IS NOT NULL").select(*group, "q.unit", "q.quantum", "q.value")
+    level = use.groupBy(*group, "unit", "quantum").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    finer = Window.partitionBy(*group, "unit").orderBy("quantum")
+    level = level.withColumn("low", F.min("least").over(finer)).withColumn("high", F.max("most").over(finer))
+    apart = ~Q.matches(F.col("most"), F.col("quantum"), F.col("low")) | ~Q.matches(F.col("least"), F.col("quantum"), F.col("high"))
+    sets = level.groupBy(*group).agg((F.bool_or(apart) | (F.min("unit") != F.max("unit"))).alias("apart"))
+    return sets.filter("apart").drop("apart")
 
 
 def consistency_within(claims: DataFrame) -> DataFrame:

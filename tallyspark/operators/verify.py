@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions import quantity as Q
-from .facts import SCOPE, fact_scopes, is_filed, latest_facts
+from .facts import SCOPE, fact_scopes, is_filed
 
 VERDICTS = ("traced", "needs_review", "conflict", "untraced")
 IDENTITY = ("ratio", "ratio_pct", "sum")
@@ -43,14 +43,14 @@ def resolved(need: DataFrame, latest: DataFrame) -> DataFrame:
     got = need.join(latest.select(*SCOPE, "value", "source_type", "source_ref", "source_url", "as_of"), SCOPE)
     by_role = lambda r: F.max(F.when(F.col("role") == r, F.col("value")))
     url = F.min_by("source_url", F.when(F.col("source_url").isNotNull(), F.col("ord")))
-    out = got.groupBy("claim_id", "tenant_id", "document_id", "n").agg(F.count(F.lit(1)).alias("k"), by_role("a").alias("a"), by_role("b").alias("b"), F.sum(F.when(F.col("role") == "s", F.col("value"))).cast(Q.DEC).alias("s"), F.bool_and(is_filed(F.col("source_type"), F.col("source_ref"))).alias("filed"), F.max("as_of").alias("d_as_of"), url.alias("d_url"))
+    out = got.groupBy("claim_id", "tenant_id", "document_id", "n").agg(F.count(F.lit(1)).alias("k"), by_role("a").alias("a"), by_role("b").alias("b"), F.sum(F.when(F.col("role") == "s", F.col("value"))).try_cast(Q.DEC).alias("s"), F.bool_and(is_filed(F.col("source_type"), F.col("source_ref"))).alias("filed"), F.max("as_of").alias("d_as_of"), url.alias("d_url"))
     return out.filter("k = n").drop("k", "n")
 
 
 def derived_value(kind: Column) -> Column:
     """Struct of ``num`` and ``den`` of the recomputed figure and its unit; null where it can't be computed."""
     a, b, one = F.col("a"), F.col("b"), F.lit(1).cast(Q.DEC)
-    frac = lambda n, d, u: F.struct(n.cast(Q.DEC).alias("num"), d.cast(Q.DEC).alias("den"), F.lit(u).alias("unit"))
+    frac = lambda n, d, u: F.struct(n.try_cast(Q.DEC).alias("num"), d.try_cast(Q.DEC).alias("den"), F.lit(u).alias("unit"))
     return (
         F.when(kind.isin("yoy_growth", "qoq_growth") & (b != 0), frac((a - b) * 100, b, "percent"))
         .when((kind == "delta_bps") & a.isNotNull() & b.isNotNull(), frac((a - b) * 100, one, "basis_points"))
@@ -61,7 +61,7 @@ def derived_value(kind: Column) -> Column:
 
 
 def derived_display(d: Column, unit: Column) -> Column:
-    return Q.display(F.round(F.try_divide(d["num"].cast("decimal(24,6)"), d["den"].cast("decimal(14,4)")), 4), unit)
+    return Q.display(Q.quotient(d["num"], d["den"]), unit)
 
 
 def derived_match(q: Column, d: Column) -> Column:
@@ -75,15 +75,16 @@ def identity(spec: Column) -> Column:
 def verify_claims(claims: DataFrame, facts: DataFrame, metrics: DataFrame, tolerance: str = "0") -> DataFrame:
     """Verdict, reason, source value and provenance of each claim; first rung that holds wins."""
     rows = parsed(claims, metrics)
-    derived = resolved(operands(rows.filter(F.col("spec.kind").isin(*IDENTITY, *GROWTH))), latest_facts(facts))
+    scopes = fact_scopes(facts)  # both uses are one exchange
+    derived = resolved(operands(rows.filter(F.col("spec.kind").isin(*IDENTITY, *GROWTH))), scopes.select(*SCOPE, "latest.*"))
     kept = [F.col(c) for c in claims.columns]
-    rows = rows.join(fact_scopes(facts), SCOPE, "left").join(derived, ["claim_id", "tenant_id", "document_id"], "left")
+    rows = rows.join(scopes, SCOPE, "left").join(derived, ["claim_id", "tenant_id", "document_id"], "left")
     rows = rows.withColumn("d", F.when(F.col("latest").isNull() & F.col("filed"), derived_value(F.col("spec.kind"))))
     q, last, d = F.col("q"), F.col("latest"), F.col("d")
     slack = F.lit(tolerance).cast("decimal(10,8)")
     unit = F.coalesce(F.col("spec.unit"), last["unit"])
     fits = lambda v: (v["unit"] == q["unit"]) & (Q.matches(q["value"], q["quantum"], v["value"]) | ((slack > 0) & (v["value"] != 0) & (F.abs(q["value"] - v["value"]) <= slack * F.abs(v["value"]))))
-    stale = F.get(F.filter("older", lambda v: is_filed(v["source_type"], v["source_ref"]) & F.coalesce(fits(v), F.lit(False))), F.lit(0))
+    stale = F.get(F.filter("older", lambda v: F.coalesce(fits(v), F.lit(False))), F.lit(0))
     rows = rows.withColumn("stale", stale)
     low = F.col("detect_confidence") == "low"
     d_fits = F.coalesce((q["unit"] == F.when(F.col("spec.kind").isin("sum", "ratio"), F.col("spec.unit")).otherwise(d["unit"])) & derived_match(q, d), F.lit(False))

@@ -47,30 +47,35 @@ def quarters(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
     return out.withColumn("period", F.concat(F.lit("FY"), F.col("y").cast("string"), F.lit("-Q"), F.col("q").cast("string")))
 
 
-def _fact(rows: DataFrame, metric: str, amount: Column, as_of: str, seq: int, kind: str = "edgar_xbrl", unit: str = "currency") -> DataFrame:
-    value = (amount.cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast(Q.DEC)
-    cols = {
-        "id": F.concat_ws(":", F.lit(as_of), "entity", F.lit(metric), "period"), "tenant_id": F.lit(TENANT), "metric": F.lit(metric), "value": value, "unit": F.lit(unit), "quantum": F.lit(0).cast(Q.DEC),
-        "source_type": F.lit(kind), "source_ref": F.concat(F.lit("f#"), F.lit(metric)), "source_label": F.lit(""), "source_excerpt": F.lit(""), "source_url": F.lit(None).cast("string"), "as_of": F.lit(as_of), "confidence": F.lit("high"), "ingest_seq": F.lit(seq).cast("long"),
-    }
-    return rows.select(*(cols.get(c.split()[0], F.col(c.split()[0])).alias(c.split()[0]) for c in FACTS.split(", ")))
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    return facts_of(quarters(spark, sf))
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
-    q = quarters(spark, sf)
-    parts = [
-        _fact(q, "total_revenue", F.col("v1"), "2002-01-01", 0),
-        _fact(q, "total_revenue", F.col("v2"), "2002-06-01", 1),
-        _fact(q, "kept_revenue", F.col("v1"), "2002-01-01", 2),
-        _fact(q, "returned_revenue", F.col("v2") - F.col("v1"), "2002-01-01", 3),
-        _fact(q.withColumn("level", F.expr("(v2 - v1) * 1000000 div v2")), "return_level", F.col("level"), "2002-01-01", 4, unit="percent"),
-        _fact(q, "adjusted_revenue", F.when(F.col("k") % 5 == 0, F.col("v2") + 10000).otherwise(F.col("v2")), "2002-01-01", 5),
-        _fact(q.filter("c_nationkey % 5 = 0").withColumn("period", P.next_quarter(F.col("period"))), "revenue_guidance", F.col("v2"), "2002-01-01", 6, "management_input"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def facts_of(q: DataFrame) -> DataFrame:
+    """Facts of quarters, all metrics from one reading: each quarter's row is laid out as its facts."""
+
+    def item(seq: int, metric: str, amount: Column, as_of: str = "2002-01-01", kind: str = "edgar_xbrl", unit: str = "currency", period: Column | None = None) -> Column:
+        value = (amount.cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast(Q.DEC)
+        return F.struct(F.lit(metric).alias("metric"), (F.col("period") if period is None else period).alias("period"), value.alias("value"), F.lit(unit).alias("unit"), F.lit(kind).alias("source_type"), F.lit(as_of).alias("as_of"), F.lit(seq).cast("long").alias("ingest_seq"))
+
+    v1, v2 = F.col("v1"), F.col("v2")
+    items = F.array(
+        item(0, "total_revenue", v1),
+        item(1, "total_revenue", v2, "2002-06-01"),
+        item(2, "kept_revenue", v1),
+        item(3, "returned_revenue", v2 - v1),
+        item(4, "return_level", F.expr("(v2 - v1) * 1000000 div v2"), unit="percent"),
+        item(5, "adjusted_revenue", F.when(F.col("k") % 5 == 0, v2 + 10000).otherwise(v2)),
+        F.when(F.col("c_nationkey") % 5 == 0, item(6, "revenue_guidance", v2, kind="management_input", period=P.next_quarter(F.col("period")))),
+    )
+    rows = q.select("entity", F.explode(F.array_compact(items)).alias("f")).select("entity", "f.*")
+    fixed = {"tenant_id": F.lit(TENANT), "id": F.concat_ws(":", "as_of", "entity", "metric", "period"), "quantum": F.lit(0).cast(Q.DEC), "source_ref": F.concat(F.lit("f#"), F.col("metric")), "source_label": F.lit(""), "source_excerpt": F.lit(""), "source_url": F.lit(None).cast("string"), "confidence": F.lit("high")}
+    return rows.select(*(fixed.get(c.split()[0], F.col(c.split()[0])).alias(c.split()[0]) for c in FACTS.split(", ")))
+
+
+def in_trillions(facts: DataFrame) -> DataFrame:
+    """The same facts with currency a million times as large."""
+    return facts.withColumn("value", F.when(F.col("unit") == "currency", F.col("value") * 1000000).otherwise(F.col("value")).cast(Q.DEC))
 
 
 def millions(amount: Column) -> Column:
@@ -124,11 +129,12 @@ def growth_claims(q: DataFrame, metric: str, back: int) -> DataFrame:
 def documents(q: DataFrame) -> DataFrame:
     """Release, script and answers of each quarter, with what the text rules look for."""
     low = F.col("k")
-    base = lambda kind, text: q.select(F.lit(TENANT).alias("tenant_id"), F.concat_ws("-", F.lit(kind), "entity", "period").alias("document_id"), "entity", "period", text.alias("text"))
     word = F.when(low % 2 == 0, "increased").otherwise("declined")
     release = F.concat(F.lit("Total revenue "), word, F.lit(" to "), millions(F.col("v2")), F.lit(" in the quarter."), F.when(low % 3 == 0, " The company expects more.").otherwise(""), F.when(low % 4 == 0, " See our forward-looking statements.").otherwise(""))
     script = F.concat(F.lit("The midpoint of "), millions(F.col("v2") + F.when(low % 3 == 1, 300_000_000).otherwise(100_000_000)), F.lit(" is where we stand."))
-    return base("release", release).unionByName(base("script", script)).unionByName(base("qa", F.lit("No figures here.")))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in (("release", release), ("script", script), ("qa", F.lit("No figures here.")))))
+    each = q.select("entity", "period", F.explode(kinds).alias("d"))
+    return each.select(F.lit(TENANT).alias("tenant_id"), F.concat_ws("-", "d.kind", "entity", "period").alias("document_id"), "entity", "period", "d.text")
 
 
 def range_claims(q: DataFrame) -> DataFrame:

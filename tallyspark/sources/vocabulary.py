@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,109 +13,6 @@ METRICS = (
     "base string, numerator string, denominator string, components array<string>, adjustments array<string>, position int"
 )
 
-#: Id | label | unit | tags (of us-gaap unless they name another), in registration order.
-_LEVELS = """
-total_revenue | Total revenue | currency | Revenues RevenueFromContractWithCustomerExcludingAssessedTax RevenueFromContractWithCustomerIncludingAssessedTax
-revenue_growth_yoy | Total revenue growth, YoY | percent |
-cost_of_revenue | Cost of revenue | currency | CostOfRevenue CostOfGoodsAndServicesSold
-gross_profit | Gross profit | currency | GrossProfit
-rnd_expense | Research and development expense | currency | ResearchAndDevelopmentExpense
-sga_expense | Selling, general and administrative expense | currency | SellingGeneralAndAdministrativeExpense
-total_costs_and_expenses | Total operating costs and expenses | currency | CostsAndExpenses OperatingExpenses BenefitsLossesAndExpenses
-operating_income | Earnings from operations | currency | OperatingIncomeLoss
-pretax_income | Earnings before income taxes | currency | IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments
-income_tax_expense | Provision for income taxes | currency | IncomeTaxExpenseBenefit
-net_income | Net earnings | currency | NetIncomeLoss ProfitLoss
-gaap_basic_eps | GAAP basic EPS | currency | EarningsPerShareBasic
-basic_shares | Weighted-average basic shares | shares | WeightedAverageNumberOfSharesOutstandingBasic
-diluted_shares | Weighted-average diluted shares | shares | WeightedAverageNumberOfDilutedSharesOutstanding
-total_assets | Total assets | currency | Assets
-total_liabilities | Total liabilities | currency | Liabilities
-stockholders_equity | Shareholders' equity | currency | StockholdersEquity StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest
-cash_and_equivalents | Cash and cash equivalents | currency | CashAndCashEquivalentsAtCarryingValue
-long_term_debt | Long-term debt | currency | LongTermDebt LongTermDebtNoncurrent
-investing_cash_flow | Cash flows from investing activities | currency | NetCashProvidedByUsedInInvestingActivities
-financing_cash_flow | Cash flows from financing activities | currency | NetCashProvidedByUsedInFinancingActivities
-capex | Capital expenditures | currency | PaymentsToAcquirePropertyPlantAndEquipment
-dividends_paid | Dividends paid | currency | PaymentsOfDividends PaymentsOfDividendsCommonStock
-premium_revenue | Premium revenue | currency | PremiumsEarnedNet
-medical_costs | Medical costs | currency | PolicyholderBenefitsAndClaimsIncurredNet
-medical_costs_payable | Medical costs payable | currency |
-medical_care_ratio | Medical care ratio | percent |
-operating_cost_ratio | Operating cost ratio | percent |
-return_on_equity | Return on equity | percent |
-{segments}
-cloud_revenue | Cloud segment revenue | currency | mrdn:CloudSegmentRevenue
-cloud_growth_yoy | Cloud growth, YoY | percent |
-gaap_diluted_eps | GAAP diluted EPS | currency | EarningsPerShareDiluted
-non_gaap_diluted_eps | Non-GAAP diluted EPS | currency |
-sbc_eps_adjustment | Stock-based compensation (per share) | currency |
-intangibles_amort_eps_adjustment | Amortization of intangibles (per share) | currency |
-operating_cash_flow | Operating cash flow | currency | NetCashProvidedByUsedInOperatingActivities
-share_repurchases | Share repurchases | currency | PaymentsForRepurchaseOfCommonStock
-revenue_guidance | Revenue guidance | currency |
-eps_guidance | EPS guidance | currency |
-adjusted_eps_guidance | Adjusted EPS guidance | currency |
-operating_margin_guidance | Operating margin guidance | percent |
-operating_margin | Operating margin | percent |
-operating_margin_change_bps | Operating margin change | basis_points |
-"""
-#: Segment names of the payer vocabulary; each has revenue and operating earnings.
-SEGMENTS = ("UnitedHealthcare", "Optum", "Optum Health", "Optum Insight", "Optum Rx")
-
-#: Derived metrics and the non-GAAP bridge.
-_DERIVED = {
-    "revenue_growth_yoy": {"kind": "yoy_growth", "base": "total_revenue"},
-    "cloud_growth_yoy": {"kind": "yoy_growth", "base": "cloud_revenue"},
-    "medical_care_ratio": {"kind": "ratio_pct", "numerator": "medical_costs", "denominator": "premium_revenue"},
-    "operating_margin_change_bps": {"kind": "delta_bps", "base": "operating_margin"},
-    "non_gaap_diluted_eps": {"is_non_gaap": True, "gaap_counterpart": "gaap_diluted_eps", "adjustments": ["sbc_eps_adjustment", "intangibles_amort_eps_adjustment"]},
-}
-
-#: Phrases for each metric besides its label, separated by semicolons.
-_PHRASES = """
-total_revenue: total revenues; total revenue; total net revenue; net revenue; revenues; revenue; net sales; total sales; sales
-cost_of_revenue: cost of revenue; cost of sales; cost of goods sold; cost of products sold
-gross_profit: gross profit
-rnd_expense: research and development; r&d expense
-sga_expense: selling, general and administrative; sg&a
-total_costs_and_expenses: total operating costs and expenses; total operating costs; total costs and expenses; total operating expenses
-operating_income: earnings from operations; income from operations; operating income; operating earnings
-pretax_income: earnings before income taxes; income before income taxes; pre-tax income; pretax income
-income_tax_expense: provision for income taxes; income tax provision
-net_income: net earnings attributable; net earnings; net income attributable; net income
-gaap_basic_eps: basic earnings per share; basic eps
-gaap_diluted_eps: gaap diluted eps; gaap eps; gaap diluted earnings per share; diluted eps; diluted earnings per share; earnings per share
-non_gaap_diluted_eps: non-gaap diluted eps; non gaap diluted eps; adjusted diluted eps; non-gaap eps; adjusted eps; non-gaap diluted earnings per share; adjusted earnings per share; adjusted net earnings per share
-basic_shares: weighted-average basic shares; basic weighted-average shares
-diluted_shares: weighted-average diluted shares; diluted weighted-average shares; diluted shares outstanding
-total_assets: total assets
-total_liabilities: total liabilities
-stockholders_equity: shareholders' equity; stockholders' equity; total equity
-cash_and_equivalents: cash and cash equivalents; cash and equivalents
-long_term_debt: long-term debt
-operating_cash_flow: cash flows from operations; operating cash flow; cash flow from operations; cash provided by operating activities; cash from operations; cash flows from operating activities
-investing_cash_flow: cash flows from investing activities; cash used for investing activities
-financing_cash_flow: cash flows from financing activities; cash used for financing activities
-capex: capital expenditures; purchases of property, plant and equipment; purchases of property and equipment; capex
-dividends_paid: cash dividends paid; dividends paid
-share_repurchases: share repurchases; repurchases of common stock; repurchase of common stock; common stock repurchases; repurchased; stock buyback; buyback
-operating_margin: operating margin; margin from operations
-operating_margin_change_bps: operating margin expanded; operating margin improved; margin expansion; basis points
-medical_care_ratio: medical care ratio; medical loss ratio; care ratio
-operating_cost_ratio: operating cost ratio
-return_on_equity: return on equity
-premium_revenue: premium revenues; premium revenue; premiums
-medical_costs: medical costs; medical cost trend
-medical_costs_payable: medical costs payable
-revenue_guidance: revenue in the range; revenue guidance; expects total revenue; revenue outlook; guidance
-eps_guidance: eps guidance; earnings per share guidance; net earnings outlook; eps outlook
-adjusted_eps_guidance: adjusted eps guidance; adjusted earnings per share guidance; adjusted net earnings outlook
-cloud_revenue: cloud segment revenue; cloud revenue; cloud segment; cloud business
-cloud_growth_yoy: cloud growth; cloud segment revenue grew; cloud revenue grew; cloud
-"""
-
-
 @dataclass
 class Metric:
     id: str
@@ -132,30 +29,123 @@ class Metric:
     adjustments: list[str] = field(default_factory=list)
 
 
-def _slug(name: str) -> str:
-    return name.lower().replace(" ", "_")
+#: The metrics that are known from the start, in registration order.
+METRICS_AT_START = [
+    Metric("total_revenue", "Total revenue", tags=["us-gaap:Revenues", "us-gaap:RevenueFromContractWithCustomerExcludingAssessedTax", "us-gaap:RevenueFromContractWithCustomerIncludingAssessedTax"]),
+    Metric("revenue_growth_yoy", "Total revenue growth, YoY", "percent", kind="yoy_growth", base="total_revenue"),
+    Metric("cost_of_revenue", "Cost of revenue", tags=["us-gaap:CostOfRevenue", "us-gaap:CostOfGoodsAndServicesSold"]),
+    Metric("gross_profit", "Gross profit", tags=["us-gaap:GrossProfit"]),
+    Metric("rnd_expense", "Research and development expense", tags=["us-gaap:ResearchAndDevelopmentExpense"]),
+    Metric("sga_expense", "Selling, general and administrative expense", tags=["us-gaap:SellingGeneralAndAdministrativeExpense"]),
+    Metric("total_costs_and_expenses", "Total operating costs and expenses", tags=["us-gaap:CostsAndExpenses", "us-gaap:OperatingExpenses", "us-gaap:BenefitsLossesAndExpenses"]),
+    Metric("operating_income", "Earnings from operations", tags=["us-gaap:OperatingIncomeLoss"]),
+    Metric("pretax_income", "Earnings before income taxes", tags=["us-gaap:IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest", "us-gaap:IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments"]),
+    Metric("income_tax_expense", "Provision for income taxes", tags=["us-gaap:IncomeTaxExpenseBenefit"]),
+    Metric("net_income", "Net earnings", tags=["us-gaap:NetIncomeLoss", "us-gaap:ProfitLoss"]),
+    Metric("gaap_basic_eps", "GAAP basic EPS", tags=["us-gaap:EarningsPerShareBasic"]),
+    Metric("basic_shares", "Weighted-average basic shares", "shares", tags=["us-gaap:WeightedAverageNumberOfSharesOutstandingBasic"]),
+    Metric("diluted_shares", "Weighted-average diluted shares", "shares", tags=["us-gaap:WeightedAverageNumberOfDilutedSharesOutstanding"]),
+    Metric("total_assets", "Total assets", tags=["us-gaap:Assets"]),
+    Metric("total_liabilities", "Total liabilities", tags=["us-gaap:Liabilities"]),
+    Metric("stockholders_equity", "Shareholders' equity", tags=["us-gaap:StockholdersEquity", "us-gaap:StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"]),
+    Metric("cash_and_equivalents", "Cash and cash equivalents", tags=["us-gaap:CashAndCashEquivalentsAtCarryingValue"]),
+    Metric("long_term_debt", "Long-term debt", tags=["us-gaap:LongTermDebt", "us-gaap:LongTermDebtNoncurrent"]),
+    Metric("investing_cash_flow", "Cash flows from investing activities", tags=["us-gaap:NetCashProvidedByUsedInInvestingActivities"]),
+    Metric("financing_cash_flow", "Cash flows from financing activities", tags=["us-gaap:NetCashProvidedByUsedInFinancingActivities"]),
+    Metric("capex", "Capital expenditures", tags=["us-gaap:PaymentsToAcquirePropertyPlantAndEquipment"]),
+    Metric("dividends_paid", "Dividends paid", tags=["us-gaap:PaymentsOfDividends", "us-gaap:PaymentsOfDividendsCommonStock"]),
+    Metric("premium_revenue", "Premium revenue", tags=["us-gaap:PremiumsEarnedNet"]),
+    Metric("medical_costs", "Medical costs", tags=["us-gaap:PolicyholderBenefitsAndClaimsIncurredNet"]),
+    Metric("medical_costs_payable", "Medical costs payable"),
+    Metric("medical_care_ratio", "Medical care ratio", "percent", kind="ratio_pct", numerator="medical_costs", denominator="premium_revenue"),
+    Metric("operating_cost_ratio", "Operating cost ratio", "percent"),
+    Metric("return_on_equity", "Return on equity", "percent"),
+    Metric("unitedhealthcare_revenue", "UnitedHealthcare revenue"),
+    Metric("optum_revenue", "Optum revenue"),
+    Metric("optum_health_revenue", "Optum Health revenue"),
+    Metric("optum_insight_revenue", "Optum Insight revenue"),
+    Metric("optum_rx_revenue", "Optum Rx revenue"),
+    Metric("unitedhealthcare_operating_earnings", "UnitedHealthcare earnings from operations"),
+    Metric("optum_operating_earnings", "Optum earnings from operations"),
+    Metric("optum_health_operating_earnings", "Optum Health earnings from operations"),
+    Metric("optum_insight_operating_earnings", "Optum Insight earnings from operations"),
+    Metric("optum_rx_operating_earnings", "Optum Rx earnings from operations"),
+    Metric("cloud_revenue", "Cloud segment revenue", tags=["mrdn:CloudSegmentRevenue"]),
+    Metric("cloud_growth_yoy", "Cloud growth, YoY", "percent", kind="yoy_growth", base="cloud_revenue"),
+    Metric("gaap_diluted_eps", "GAAP diluted EPS", tags=["us-gaap:EarningsPerShareDiluted"]),
+    Metric("non_gaap_diluted_eps", "Non-GAAP diluted EPS", is_non_gaap=True, gaap_counterpart="gaap_diluted_eps", adjustments=["sbc_eps_adjustment", "intangibles_amort_eps_adjustment"]),
+    Metric("sbc_eps_adjustment", "Stock-based compensation (per share)"),
+    Metric("intangibles_amort_eps_adjustment", "Amortization of intangibles (per share)"),
+    Metric("operating_cash_flow", "Operating cash flow", tags=["us-gaap:NetCashProvidedByUsedInOperatingActivities"]),
+    Metric("share_repurchases", "Share repurchases", tags=["us-gaap:PaymentsForRepurchaseOfCommonStock"]),
+    Metric("revenue_guidance", "Revenue guidance"),
+    Metric("eps_guidance", "EPS guidance"),
+    Metric("adjusted_eps_guidance", "Adjusted EPS guidance"),
+    Metric("operating_margin_guidance", "Operating margin guidance", "percent"),
+    Metric("operating_margin", "Operating margin", "percent"),
+    Metric("operating_margin_change_bps", "Operating margin change", "basis_points", kind="delta_bps", base="operating_margin"),
+]
+
+#: Phrases for each metric besides its label.
+PHRASES = {
+    "total_revenue": ["total revenues", "total revenue", "total net revenue", "net revenue", "revenues", "revenue", "net sales", "total sales", "sales"],
+    "cost_of_revenue": ["cost of revenue", "cost of sales", "cost of goods sold", "cost of products sold"],
+    "gross_profit": ["gross profit"],
+    "rnd_expense": ["research and development", "r&d expense"],
+    "sga_expense": ["selling, general and administrative", "sg&a"],
+    "total_costs_and_expenses": ["total operating costs and expenses", "total operating costs", "total costs and expenses", "total operating expenses"],
+    "operating_income": ["earnings from operations", "income from operations", "operating income", "operating earnings"],
+    "pretax_income": ["earnings before income taxes", "income before income taxes", "pre-tax income", "pretax income"],
+    "income_tax_expense": ["provision for income taxes", "income tax provision"],
+    "net_income": ["net earnings attributable", "net earnings", "net income attributable", "net income"],
+    "gaap_basic_eps": ["basic earnings per share", "basic eps"],
+    "gaap_diluted_eps": ["gaap diluted eps", "gaap eps", "gaap diluted earnings per share", "diluted eps", "diluted earnings per share", "earnings per share"],
+    "non_gaap_diluted_eps": ["non-gaap diluted eps", "non gaap diluted eps", "adjusted diluted eps", "non-gaap eps", "adjusted eps", "non-gaap diluted earnings per share", "adjusted earnings per share", "adjusted net earnings per share"],
+    "basic_shares": ["weighted-average basic shares", "basic weighted-average shares"],
+    "diluted_shares": ["weighted-average diluted shares", "diluted weighted-average shares", "diluted shares outstanding"],
+    "total_assets": ["total assets"],
+    "total_liabilities": ["total liabilities"],
+    "stockholders_equity": ["shareholders' equity", "stockholders' equity", "total equity"],
+    "cash_and_equivalents": ["cash and cash equivalents", "cash and equivalents"],
+    "long_term_debt": ["long-term debt"],
+    "operating_cash_flow": ["cash flows from operations", "operating cash flow", "cash flow from operations", "cash provided by operating activities", "cash from operations", "cash flows from operating activities"],
+    "investing_cash_flow": ["cash flows from investing activities", "cash used for investing activities"],
+    "financing_cash_flow": ["cash flows from financing activities", "cash used for financing activities"],
+    "capex": ["capital expenditures", "purchases of property, plant and equipment", "purchases of property and equipment", "capex"],
+    "dividends_paid": ["cash dividends paid", "dividends paid"],
+    "share_repurchases": ["share repurchases", "repurchases of common stock", "repurchase of common stock", "common stock repurchases", "repurchased", "stock buyback", "buyback"],
+    "operating_margin": ["operating margin", "margin from operations"],
+    "operating_margin_change_bps": ["operating margin expanded", "operating margin improved", "margin expansion", "basis points"],
+    "medical_care_ratio": ["medical care ratio", "medical loss ratio", "care ratio"],
+    "operating_cost_ratio": ["operating cost ratio"],
+    "return_on_equity": ["return on equity"],
+    "premium_revenue": ["premium revenues", "premium revenue", "premiums"],
+    "medical_costs": ["medical costs", "medical cost trend"],
+    "medical_costs_payable": ["medical costs payable"],
+    "revenue_guidance": ["revenue in the range", "revenue guidance", "expects total revenue", "revenue outlook", "guidance"],
+    "eps_guidance": ["eps guidance", "earnings per share guidance", "net earnings outlook", "eps outlook"],
+    "adjusted_eps_guidance": ["adjusted eps guidance", "adjusted earnings per share guidance", "adjusted net earnings outlook"],
+    "cloud_revenue": ["cloud segment revenue", "cloud revenue", "cloud segment", "cloud business"],
+    "cloud_growth_yoy": ["cloud growth", "cloud segment revenue grew", "cloud revenue grew", "cloud"],
+    "unitedhealthcare_revenue": ["revenues — unitedhealthcare", "unitedhealthcare revenue", "unitedhealthcare"],
+    "unitedhealthcare_operating_earnings": ["earnings from operations — unitedhealthcare", "unitedhealthcare earnings from operations"],
+    "optum_revenue": ["revenues — optum", "optum revenue", "total optum"],
+    "optum_operating_earnings": ["earnings from operations — optum", "optum earnings from operations"],
+    "optum_health_revenue": ["revenues — optum health", "optum health revenue", "optum health"],
+    "optum_health_operating_earnings": ["earnings from operations — optum health", "optum health earnings from operations"],
+    "optum_insight_revenue": ["revenues — optum insight", "optum insight revenue", "optum insight"],
+    "optum_insight_operating_earnings": ["earnings from operations — optum insight", "optum insight earnings from operations"],
+    "optum_rx_revenue": ["revenues — optum rx", "optum rx revenue", "optum rx"],
+    "optum_rx_operating_earnings": ["earnings from operations — optum rx", "optum rx earnings from operations"],
+}
 
 
 def default_metrics() -> list[Metric]:
-    segments = [f"{_slug(s)}_revenue | {s} revenue | currency |" for s in SEGMENTS] + [f"{_slug(s)}_operating_earnings | {s} earnings from operations | currency |" for s in SEGMENTS]
-    out = []
-    for line in _LEVELS.format(segments="\n".join(segments)).strip().splitlines():
-        name, label, unit, tags = (x.strip() for x in line.split("|"))
-        out.append(Metric(name, label, unit, tags=[t if ":" in t else f"us-gaap:{t}" for t in tags.split()], **_DERIVED.get(name, {})))
-    return out
+    return [replace(m) for m in METRICS_AT_START]
 
 
 def default_aliases() -> dict[str, list[str]]:
-    out = {}
-    for line in _PHRASES.strip().splitlines():
-        name, _, phrases = line.partition(":")
-        out[name] = [p.strip() for p in phrases.split(";")]
-    for s in SEGMENTS:
-        low = s.lower()
-        bare = {"unitedhealthcare": [low], "optum": ["total optum"]}.get(low, [low])
-        out[f"{_slug(s)}_revenue"] = [f"revenues — {low}", f"{low} revenue", *bare]
-        out[f"{_slug(s)}_operating_earnings"] = [f"earnings from operations — {low}", f"{low} earnings from operations"]
-    return out
+    return {metric: list(phrases) for metric, phrases in PHRASES.items()}
 
 
 def metrics_table(spark: SparkSession, metrics: Iterable[Metric] | None = None) -> DataFrame:
@@ -171,14 +161,14 @@ def tags_table(metrics: DataFrame) -> DataFrame:
     return each.groupBy("tag").agg(F.max_by("id", "position").alias("metric"), F.max_by("unit", "position").alias("unit"))
 
 
-def extend_aliases(aliases: Mapping[str, list[str]], overrides: Mapping[str, Iterable[str]], known: Iterable[str], replace: bool = False) -> dict[str, list[str]]:
+def extend_aliases(aliases: Mapping[str, list[str]], overrides: Mapping[str, Iterable[str]], known: Iterable[str], instead: bool = False) -> dict[str, list[str]]:
     """Phrases joined to (or put for) those there are, in order and once; metrics outside ``known`` are an error."""
     if odd := sorted(set(overrides) - set(known)):
         raise ValueError(f"unknown metrics: {', '.join(odd)}")
     out = {k: list(v) for k, v in aliases.items()}
     for metric, phrases in overrides.items():
         clean = [p.strip().lower() for p in phrases if p and p.strip()]
-        out[metric] = list(dict.fromkeys(clean if replace else [*out.get(metric, []), *clean]))
+        out[metric] = list(dict.fromkeys(clean if instead else [*out.get(metric, []), *clean]))
     return {k: v for k, v in out.items() if v}
 
 
