@@ -12,18 +12,9 @@ from ..operators.claims import detect_figures, extract_claims
 from ..operators.verify import parsed, verify_claims
 from ..sources import documents as D
 from ..sources import filings, guidance, releases
-from ..sources.vocabulary import aliases_table, default_metrics, metrics_table, vocabulary
-from . import star
-
-#: Integers of every quarter: what all oracles start from.
-BASE = """
-q AS (SELECT n_name AS entity, c_nationkey AS nk, year(l_shipdate) AS y, quarter(l_shipdate) AS q, sum(a)::BIGINT AS v2, sum(CASE WHEN l_returnflag <> 'R' THEN a ELSE 0 END)::BIGINT AS v1
-      FROM (SELECT *, round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT) AS a FROM lineitem) l
-      JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
-b AS (SELECT *, 'FY' || y || '-Q' || q AS period, (nk * 31 + y * 4 + q)::BIGINT AS k, y * 4 + q - 1 AS t FROM q)"""
-_MILLION = "((({x}) + 50000000) // 100000000 * 100000000)"
-_PAIRS = "p AS (SELECT b.*, w.v2 AS was FROM b JOIN b w ON w.entity = b.entity AND w.t = b.t - {back})"
-
+from ..sources.vocabulary import aliases_table, default_aliases, default_metrics, metrics_table, vocabulary
+from . import star, wider
+from .base import BASE, KEY as _KEY, PAIRS as _PAIRS, facts as _facts_sql, million as _m
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return star.facts(spark, sf)
@@ -116,7 +107,7 @@ def derived_bps(spark, sf):
     was = q.select(F.col("entity").alias("e"), F.col("period").alias("p"), F.col("level").alias("was"))
     rows = q.join(was, (F.col("e") == F.col("entity")) & (F.col("p") == P.prior_year(F.col("period"))))
     d = F.col("level") - F.col("was")
-    n = F.floor((F.abs(d) + 50) / 100).cast("long")
+    n = F.floor((F.abs(d) + 50) / 100).cast("long") + F.when(F.col("k") % 3 == 0, 1).otherwise(0)
     c = star._claim(rows, "release", 4, "margin_points", F.concat(F.when(d < 0, "-").otherwise(""), n.cast("string"), F.lit(" bps")))
     return _verdicts(spark, sf, c).select("entity", "period", "verdict")
 
@@ -213,7 +204,8 @@ def instance_ingest(spark, sf):
 
 
 def companyfacts_ingest(spark, sf):
-    q = star.quarters(spark, sf)
+    """Companies whose last quarters differ."""
+    q = star.quarters(spark, sf).filter("y * 4 + q <= 8007 - c_nationkey % 4")
     occ = lambda v, filed: F.struct(F.lit(None).cast("string").alias("start"), F.concat_ws("-", F.col("y").cast("string"), F.lpad((F.col("q") * 3).cast("string"), 2, "0"), F.lit("28")).alias("end"), F.col(v).cast("string").alias("val"), F.lit(filed).alias("accn"), F.lit("10-Q").alias("form"), F.lit(filed).alias("filed"), F.lit(None).cast("string").alias("frame"))
     each = q.select("entity", F.explode(F.array(occ("v1", "2002-01-01"), occ("v2", "2002-06-01"), occ("v2", "2002-09-01"))).alias("o")).groupBy("entity").agg(F.collect_list("o").alias("o"))
     feed = each.select(F.lit(1).cast("long").alias("cik"), F.col("entity").alias("entityName"), F.struct(F.create_map(F.lit("Revenues"), F.struct(F.lit("Revenue").alias("label"), F.create_map(F.lit("USD"), F.col("o")).alias("units"))).alias("us-gaap")).alias("facts"))
@@ -238,7 +230,7 @@ def best_release(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Reports "), F.element_at(F.array(*map(F.lit, ("First", "Second", "Third", "Fourth"))), F.quarter("o_orderdate")), F.lit(" Quarter "), F.year("o_orderdate").cast("string"), F.lit(" Results."))).otherwise("Update."), F.repeat(F.lit(" $5 million;"), (F.col("o_orderkey") % 5).cast("int")))
     f = o.select(F.col("o_custkey").cast("string").alias("issuer"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("accession"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("report_date"), text.alias("text"))
-    return releases.select_quarters(f, 1000).select("issuer", "key", "accession", "stated", "n_figures")
+    return releases.select_quarters(f, 4).select("issuer", "key", "accession", "stated", "n_figures")
 
 
 def candidate_choice(spark, sf):
@@ -295,28 +287,31 @@ def _growth_sql(back: int) -> str:
     return f"WITH {BASE}, {_PAIRS.format(back=back)} SELECT entity, period, CASE WHEN {said} = {true} THEN 'traced' ELSE 'conflict' END AS verdict FROM p"
 
 
-def _m(x: str) -> str:
-    return _MILLION.format(x=x)
-
-
 _CASE = f"""CASE WHEN k % 7 = 5 THEN 'untraced' WHEN k % 7 IN (4, 6) THEN 'needs_review' WHEN k % 7 IN (0, 1) THEN 'traced'
   WHEN k % 7 = 2 AND {_m('v1')} = {_m('v2')} THEN 'traced' ELSE 'conflict' END"""
 _SHOWN = """CASE k % 7 WHEN 1 THEN (v2 + 5000000) // 10000000 * 10000000 WHEN 2 THEN {v1} WHEN 3 THEN {v3} WHEN 4 THEN NULL ELSE {v2} END""".format(v1=_m("v1"), v2=_m("v2"), v3=_m("v2 + 100000000"))
-_KEY = "'FY' || (({t}) // 4) || '-Q' || (({t}) % 4 + 1)"
 _REL = "'release-' || entity || '-' || period AS document_id"
 _SCR = "'script-' || entity || '-' || period AS document_id"
 
 
+def _aliases_sql() -> str:
+    known = {m.id: m.label.lower() for m in default_metrics()}
+    pairs = {(m, p) for m, ps in default_aliases().items() for p in ps} | set(known.items())
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(m)}, {quoted(p)})" for m, p in sorted(pairs))
+    return f"SELECT metric, count(*)::BIGINT AS n, arg_min(phrase, (-length(phrase), phrase)) AS longest FROM (VALUES {values}) v(metric, phrase) GROUP BY metric"
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {BASE}"
     return {
-        "facts_latest": f"{w} SELECT entity, period, v2 AS amount, '2002-06-01' AS as_of FROM b",
-        "facts_restatements": f"{w} SELECT entity, period, CASE WHEN v1 = v2 THEN 1 ELSE 2 END::BIGINT AS versions FROM b",
-        "facts_lookback": f"{w} SELECT entity, period FROM b WHERE t + 1 > (SELECT max(t) + 1 FROM b) - 8",
-        "facts_coverage": f"{w}, l AS (SELECT entity, list_sort(list(period)) AS p FROM b GROUP BY entity) SELECT entity, len(p)::BIGINT AS n_periods, CASE WHEN len(p) > 6 THEN array_to_string(p[-6:], ', ') || ' (+' || (len(p) - 6) || ' earlier)' ELSE array_to_string(p, ', ') END AS shown FROM l",
+        "facts_latest": f"{w}, {_facts_sql()} SELECT entity, metric, period, amount::BIGINT AS amount, as_of FROM f WHERE seq <> 0",
+        "facts_restatements": f"{w}, {_facts_sql()}, r AS (SELECT *, lag(amount) OVER (PARTITION BY entity, metric, period ORDER BY seq) AS was FROM f) SELECT entity, metric, period, count(*)::BIGINT AS versions FROM r WHERE was IS NULL OR was <> amount GROUP BY ALL",
+        "facts_lookback": f"{w}, {_facts_sql('y * 4 + q <= 8007 - nk % 4')}, n AS (SELECT *, max(t) OVER (PARTITION BY entity) AS newest FROM f) SELECT entity, metric, period, count(*)::BIGINT AS facts FROM n WHERE t > newest - 8 GROUP BY ALL",
+        "facts_coverage": f"{w}, {_facts_sql()}, l AS (SELECT entity, metric, list_sort(list(DISTINCT period)) AS p FROM f GROUP BY entity, metric) SELECT entity, metric, len(p)::BIGINT AS n_periods, CASE WHEN len(p) > 6 THEN array_to_string(p[-6:], ', ') || ' (+' || (len(p) - 6) || ' earlier)' ELSE array_to_string(p, ', ') END AS shown FROM l",
         "parse_quantity": f"{w} SELECT entity, period, ({_SHOWN})::BIGINT AS amount, CASE k % 7 WHEN 4 THEN NULL WHEN 1 THEN 10000000 ELSE 100000000 END::BIGINT AS quantum, CASE WHEN k % 7 <> 4 THEN 'currency' END AS unit FROM b",
         "parse_range": f"{w} SELECT entity, period, CASE WHEN k % 4 = 0 THEN {_m('v2 + 200000000')} ELSE {_m('v2')} END::BIGINT AS low, CASE WHEN k % 4 = 0 THEN {_m('v2')} ELSE {_m('v2 + 200000000')} END::BIGINT AS high FROM b",
-        "display_quantity": f"{w}, c AS (SELECT *, (v2 + 50) // 100 AS c FROM b) SELECT entity, period, '$' || (c // 100) || CASE WHEN c % 100 = 0 THEN '' ELSE rtrim('.' || lpad((c % 100)::VARCHAR, 2, '0'), '0') END AS shown FROM c",
+        "display_quantity": f"{w}, {_facts_sql()}, c AS (SELECT *, (amount + 50) // 100 AS c FROM f WHERE seq <> 0) SELECT entity, metric, period, CASE WHEN metric = 'return_level' THEN '' ELSE '$' END || (c // 100) || CASE WHEN c % 100 = 0 THEN '' ELSE rtrim('.' || lpad((c % 100)::VARCHAR, 2, '0'), '0') END || CASE WHEN metric = 'return_level' THEN '%' ELSE '' END AS shown FROM c",
         "period_arith": f"{w} SELECT entity, period, {_KEY.format(t='t - 4')} AS prior_year, {_KEY.format(t='t - 1')} AS prior_quarter, {_KEY.format(t='t + 1')} AS next_quarter, (t + 1)::BIGINT AS rank FROM b",
         "tie_out_verdicts": f"{w}, v AS (SELECT *, {_CASE} AS verdict FROM b) SELECT entity, period, CASE WHEN k % 7 = 5 THEN 'unknown_metric' ELSE 'total_revenue' END AS metric, verdict, verdict IN ('conflict', 'untraced') AS is_blocking FROM v",
         "superseded_conflicts": f"{w} SELECT entity, period FROM b WHERE k % 7 = 2 AND {_m('v1')} <> {_m('v2')} OR k % 7 = 3 AND {_m('v2 + 100000000')} = {_m('v1')}",
@@ -324,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "derived_qoq": _growth_sql(1),
         "derived_sum": f"{w} SELECT entity, period, CASE WHEN k % 3 = 0 THEN 'conflict' ELSE 'traced' END AS verdict FROM b",
         "derived_ratio_pct": f"{w}, s AS (SELECT *, ((v2 - v1 + CASE WHEN k % 3 = 0 THEN v2 // 1000 ELSE 0 END)::HUGEINT * 2000 + v2) // (2 * v2) AS said, ((v2 - v1)::HUGEINT * 2000 + v2) // (2 * v2) AS got FROM b) SELECT entity, period, CASE WHEN said = got THEN 'traced' ELSE 'conflict' END AS verdict FROM s",
-        "derived_bps": f"{w} SELECT b.entity, b.period, 'traced' AS verdict FROM b JOIN b w ON w.entity = b.entity AND w.t = b.t - 4",
+        "derived_bps": f"{w} SELECT b.entity, b.period, CASE WHEN b.k % 3 = 0 THEN 'conflict' ELSE 'traced' END AS verdict FROM b JOIN b w ON w.entity = b.entity AND w.t = b.t - 4",
         "derived_ttm": f"{w} SELECT 'release-' || b.entity || '-' || b.period AS document_id, 'derived.recomputation_mismatch' AS rule FROM b WHERE k % 3 = 0 AND (SELECT count(*) FROM b w WHERE w.entity = b.entity AND w.t BETWEEN b.t - 3 AND b.t) = 4",
         "reg_g_prominence": f"{w} SELECT {_REL}, 'adjusted_revenue' AS metric, 'reg_g.equal_prominence' AS rule FROM b WHERE k % 2 = 0",
         "reg_g_bridge": f"{w} SELECT {_REL}, 'adjusted_revenue' AS metric, 'reg_g.reconciliation_arithmetic' AS rule FROM b WHERE k % 2 = 1 AND (v2 + 50) // 100 * 100 <> v2 + CASE WHEN k % 5 = 0 THEN 10000 ELSE 0 END",
@@ -337,22 +332,26 @@ def oracle_sql() -> dict[str, str]:
         "range_inverted": f"{w} SELECT {_SCR}, 'revenue_guidance' AS metric FROM b WHERE k % 4 = 0",
         "range_midpoint": f"{w} SELECT {_SCR}, 'revenue_guidance' AS metric FROM b WHERE k % 3 = 1",
         "verdict_counts": f"{w}, v AS (SELECT *, {_CASE} AS verdict FROM b) SELECT {_REL}, (verdict = 'traced')::BIGINT AS traced, (verdict = 'needs_review')::BIGINT AS needs_review, (verdict = 'conflict')::BIGINT AS conflict, (verdict = 'untraced')::BIGINT AS untraced FROM v",
-        "publishable": f"{w}, v AS (SELECT b.*, {_CASE.replace('k %', 'b.k %').replace('v1', 'b.v1').replace('v2', 'b.v2')} AS verdict, w.v2 AS was FROM b LEFT JOIN b w ON w.entity = b.entity AND w.t = b.t - 4) SELECT {_REL}, verdict NOT IN ('conflict', 'untraced') AND NOT (k % 3 = 0 AND k % 4 <> 0) AND NOT coalesce(k % 7 <> 5 AND CASE WHEN k % 2 = 0 THEN v2 < was ELSE v2 > was END, false) AS publishable FROM v",
+        "publishable": f"{w}, v AS (SELECT b.*, {_CASE.replace('k %', 'b.k %').replace('v1', 'b.v1').replace('v2', 'b.v2')} AS verdict, w.v2 AS was FROM b LEFT JOIN b w ON w.entity = b.entity AND w.t = b.t - 4) SELECT {_REL}, verdict NOT IN ('conflict', 'untraced') AND NOT (k % 3 = 0 AND k % 4 <> 0) AND NOT coalesce(k % 7 <> 5 AND CASE WHEN k % 2 = 0 THEN v2 < was ELSE v2 > was END, false) AS publishable FROM v UNION ALL SELECT unnest(['script-', 'qa-']) || entity || '-' || period, true FROM b",
         "eval_gate": f"{w}, v AS (SELECT {_CASE} AS verdict, CASE WHEN k % 7 IN (0, 1) THEN 'traced' WHEN k % 7 IN (2, 3) THEN 'conflict' WHEN k % 7 = 5 THEN 'untraced' ELSE 'needs_review' END AS expected FROM b) SELECT count(*) AS total, count(*) FILTER (WHERE verdict = expected) AS exact, count(*) FILTER (WHERE verdict <> 'traced' AND expected <> 'traced') AS tp, count(*) FILTER (WHERE verdict <> 'traced' AND expected = 'traced') AS fp, count(*) FILTER (WHERE verdict = 'traced' AND expected <> 'traced') AS fn, count(*) FILTER (WHERE verdict = 'traced' AND expected = 'traced') AS tn FROM v",
         "guidance_facts": f"{w} SELECT entity, 'revenue_guidance' AS metric, {_KEY.format(t='t + 1')} AS period, (({_m('v2')} + {_m('v2 + 200000000')}) // 2)::BIGINT AS amount FROM b",
         "instance_ingest": f"{w} SELECT entity, 'total_revenue' AS metric, period, v2 AS amount, 1000::BIGINT AS quantum FROM b WHERE k % 4 <> 0",
-        "companyfacts_ingest": f"{w}, f AS (SELECT * FROM b WHERE t + 1 > (SELECT max(t) + 1 FROM b) - 8) SELECT entity, 'total_revenue' AS metric, period, v1 AS amount, '2002-01-01' AS as_of FROM f UNION ALL SELECT entity, 'total_revenue', period, v2, '2002-06-01' FROM f WHERE v1 <> v2",
+        "companyfacts_ingest": f"{w}, n AS (SELECT *, max(t) OVER (PARTITION BY entity) AS newest FROM b WHERE y * 4 + q <= 8007 - nk % 4), f AS (SELECT * FROM n WHERE t > newest - 8) SELECT entity, 'total_revenue' AS metric, period, v1 AS amount, '2002-01-01' AS as_of FROM f UNION ALL SELECT entity, 'total_revenue', period, v2, '2002-06-01' FROM f WHERE v1 <> v2",
         "audit_chain": """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS seq, n_name, '{"actor":"engine","payload":{"n":' || n_regionkey || '},"prev_hash":"' AS head, '","seq":' || (row_number() OVER (ORDER BY n_nationkey) - 1) || ',"tenant_id":"' || n_name || '","timestamp":"2002-01-01T00:00:00","type":"ingest"}' AS tail FROM nation),
 c AS (SELECT seq, n_name, repeat('0', 64) AS prev_hash, sha256(head || repeat('0', 64) || tail) AS hash FROM e WHERE seq = 0 UNION ALL SELECT e.seq, e.n_name, c.hash, sha256(e.head || c.hash || e.tail) FROM e JOIN c ON e.seq = c.seq + 1)
 SELECT seq, n_name AS tenant_id, prev_hash, hash FROM c""",
         "audit_tamper": "SELECT false AS ok, 7::BIGINT AS first_bad_seq, 'hash' AS reason",
-        "best_release": "WITH f AS (SELECT o_custkey::VARCHAR AS issuer, lpad(o_orderkey::VARCHAR, 10, '0') AS accession, o_orderdate AS d, 'FY' || year(o_orderdate) || '-Q' || quarter(o_orderdate) AS key, o_orderkey % 2 = 0 AND year(o_orderdate) >= 2000 AS stated, (o_orderkey % 5)::BIGINT AS n_figures FROM orders WHERE o_custkey <= 60) SELECT issuer, key, accession, stated, n_figures FROM (SELECT *, row_number() OVER (PARTITION BY issuer, key ORDER BY stated DESC, n_figures DESC, d::DATE DESC, accession DESC) AS k FROM f) WHERE k = 1",
+        "best_release": "WITH f AS (SELECT o_custkey::VARCHAR AS issuer, lpad(o_orderkey::VARCHAR, 10, '0') AS accession, o_orderdate AS d, 'FY' || year(o_orderdate) || '-Q' || quarter(o_orderdate) AS key, o_orderkey % 2 = 0 AND year(o_orderdate) >= 2000 AS stated, (o_orderkey % 5)::BIGINT AS n_figures FROM orders), g AS (SELECT issuer, key, row_number() OVER (PARTITION BY issuer ORDER BY max(d) DESC) AS i, bool_or(stated) AS sure, arg_max(stated, (d, accession)) AS first FROM f GROUP BY issuer, key), s AS (SELECT issuer, greatest(0, least(count(*) FILTER (WHERE i <= 4 AND NOT sure), least(coalesce(min(i) FILTER (WHERE i > 4 AND NOT first) - 1, 1000000), max(i)) - 4)) AS late FROM g GROUP BY issuer), w AS (SELECT *, count(*) FILTER (WHERE i <= 4 AND NOT sure) OVER (PARTITION BY issuer ORDER BY i) AS soft FROM g JOIN s USING (issuer)), h AS (SELECT issuer, key FROM w WHERE i <= 4 AND (sure OR soft > late) OR i BETWEEN 5 AND 4 + late) SELECT issuer, key, accession, stated, n_figures FROM (SELECT f.*, row_number() OVER (PARTITION BY issuer, key ORDER BY stated DESC, n_figures DESC, d::DATE DESC, accession DESC) AS k FROM f JOIN h USING (issuer, key)) WHERE k = 1",
         "candidate_choice": "WITH r AS (SELECT o_custkey::VARCHAR AS slot, o_orderkey AS pos, (CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 9 END)::INT AS rank, (o_orderkey % 17)::BIGINT AS n_figures FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 17 >= 8) SELECT slot, pos, rank, n_figures FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY rank, n_figures DESC, pos) AS k FROM r) WHERE k = 1",
         "detect_figure_spans": f"{w} SELECT {_REL}, 1::BIGINT AS n, '$' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ' million' AS figure FROM (SELECT *, (v2 + 50000000) // 100000000 AS c FROM b) UNION ALL SELECT {_SCR}, 1, '$' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ' million' FROM (SELECT *, (v2 + CASE WHEN k % 3 = 1 THEN 300000000 ELSE 100000000 END + 50000000) // 100000000 AS c FROM b)",
-        "extracted_claims": f"{w} SELECT {_REL}, 'total_revenue' AS metric, '$' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ' million' AS displayed_text, 'high' AS detect_confidence FROM (SELECT *, (v2 + 50000000) // 100000000 AS c FROM b)",
-        "table_render": f"{w} SELECT entity, period, 'in millions' || repeat(chr(10), 2) || 'Line First Quarter 2026 First Quarter 2025' || chr(10) || 'Revenue: $' || k || '.5 million (FY2026-Q1); $9 million (FY2025-Q1)' || chr(10) || 'Loss: -$7.25 million (FY2026-Q1); $8 million (FY2025-Q1)' AS text FROM b WHERE y = 1996",
+        "extracted_claims": f"{w} SELECT {_REL}, 'total_revenue' AS metric, '$' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ' million' AS displayed_text, 'high' AS detect_confidence FROM (SELECT *, (v2 + 50000000) // 100000000 AS c FROM b) UNION ALL SELECT {_SCR}, 'unidentified', '$' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ' million', 'low' FROM (SELECT *, (v2 + CASE WHEN k % 3 = 1 THEN 300000000 ELSE 100000000 END + 50000000) // 100000000 AS c FROM b)",
+        "table_render": f"{w} SELECT entity, period, 'in millions' || repeat(chr(10), 2) || 'Line First Quarter 2026 First Quarter 2025' || chr(10) || 'Revenue: $' || k || '.5 million (FY2026-Q1); $9 million (FY2025-Q1)' || chr(10) || 'Loss: -$7.25 million (FY2026-Q1); $8 million (FY2025-Q1)' AS text FROM b",
         "segment_resolution": "WITH s AS (SELECT n_name || ':' || c_mktsegment AS entity, lower(c_mktsegment) AS keyword, c_nationkey * 10000 + year(l_shipdate) * 4 + quarter(l_shipdate) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) SELECT keyword, arg_max(entity, i) AS entity, min(i)::BIGINT AS first_seq FROM s GROUP BY keyword",
+        "tidy_pages": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, length(regexp_replace(regexp_replace(t, '\n[\s\x0B\x85\p{Z}]*\n[\s\x0B\x85\p{Z}]*\n+', chr(10) || chr(10), 'g'), '^[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+$', '', 'g'))::BIGINT AS n_chars FROM a""",
+        "alias_vocabulary": _aliases_sql(),
         "default_entity": "SELECT 'star' AS tenant_id, n_name AS entity FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation)",
+        **wider.SQL,
     }
 
 
@@ -365,4 +364,4 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in ALL} | wider.QUERIES

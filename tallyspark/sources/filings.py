@@ -74,7 +74,9 @@ def feed_facts(feeds: DataFrame, metrics: DataFrame, tenant: str, quarters: int
 
 
 def filing_rows(submissions: DataFrame) -> DataFrame:
-    """Filings of an index with parallel arrays; a missing array counts as empty strings."""
+    """Filings of an index with parallel arrays, bare or under ``filings.recent``; a missing array counts as empty strings."""
+    if "filings" in submissions.columns:
+        submissions = submissions.select("issuer", "filings.recent.*")
     keys = ("accessionNumber", "filingDate", "reportDate", "items", "form")
     have = set(submissions.columns)
     cols = [(F.col(k) if k in have else F.array().cast("array<string>")).alias(k) for k in keys]
@@ -83,7 +85,7 @@ def filing_rows(submissions: DataFrame) -> DataFrame:
 
 
 def earnings_filings(filings: DataFrame) -> DataFrame:
-    return filings.filter((F.col("form") == "8-K") & F.array_contains(F.transform(F.split("items", ","), F.trim), "2.02"))
+    return filings.filter((F.col("form") == "8-K") & F.array_contains(F.transform(F.split("items", ","), lambda x: F.trim(x)), "2.02"))
 
 
 def issuer_label(tickers: Column, name: Column) -> Column:
