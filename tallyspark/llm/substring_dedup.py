@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rewritten, staged, texts_of
+from .common import dropped, rewritten, staged, texts_of
 from .textblocks import Block, gram_hashes, mix64, row_blocks, words
 
 WINDOW = 35
@@ -273,6 +273,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     segments = staged(_segment_texts(each.join(anchors, "key"), docs, window), "segments")
     hits = _shards(segments.filter("NOT large"), window, shard_words).unionByName(_large_anchors(segments.filter("large"), window))
     hits = staged(hits, "hits")  # one row per segment: the join makes one per place, and a common segment's places can be split
+    dropped(each, anchors, segments)
     at = lambda f, l: F.struct((F.col("a") + f).alias("from"), (F.col("a") + l + window).alias("to"))  # noqa: E731, E741
     found = runs.join(hits, ["key", "content"], "left").select("doc_id", "tid", F.zip_with("first", "last", at).alias("spans"))
     spans = found.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one per word of the document

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -163,15 +164,19 @@ def test_chats(spark):
     bits = ["</s>", "[INST]", "[/INST]", "\\", "<", "[", "a", "\n", "<\\/s>", "[\\\\INST]", " "]
     rows = [(c, t if t else None, rnd.choice(["user", "assistant", "system", None, "[/INST]"]), rnd.choice([None, "", "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))])) for c in range(40) for t in range(rnd.randrange(1, 6))]
     rows += [(99, 1, "user", "x"), (99, 1, "user", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "conv_id long, turn long, role string, text string, formatted string, k int, piece string")
     out = {r.conv_id: r for r in chat_format.format_chats(df).collect()}
     for c, r in out.items():
         mine = sorted(((t is not None, t or 0, x or "", y or "") for k, t, x, y in rows if k == c))
         assert [(t.role, t.text) for t in r.turns] == [(x, y) for _, _, x, y in mine]
         said = [y for _, _, x, y in mine if x == "assistant"]
         assert len(r.loss_spans) == len(said) and r.formatted.count("</s>") == len(mine)
-        plain = [y for y in said if "\\" not in y and "</s>" not in y and "INST]" not in y]
-        assert set(plain) <= {r.formatted[s.start : s.start + s.length] for s in r.loss_spans}
+        cut = [re.sub(r"([<\[])\\(\\*)(/s>|INST\]|/INST\])", r"\1\2\3", r.formatted[x.start : x.start + x.length]) for x in r.loss_spans]
+        assert cut == said  # under the mask, unescaped: all assistant texts in order
+        marks = re.findall(r"</s>|\[/?INST\]", r.formatted)
+        assert marks == ["[INST]", "[/INST]", "</s>"] * len(mine)  # no control string but the template's own
+    masked = chat_format.format_chats(df).select("conv_id", chat_format.under_mask(F.col("formatted"), F.col("loss_spans")).alias("m"))
+    assert {r.conv_id: list(r.m) for r in masked.collect()} == {c: [y for *_, x, y in sorted((t is not None, t or 0, x or "", y or "") for k, t, x, y in rows if k == c) if x == "assistant"] for c in out}
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
