@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, frugal, staged
 
 WIDTH = 3.0
 PLANES = 8
@@ -197,7 +197,7 @@ def _search(pieces: DataFrame, at: np.ndarray, k: int, dim: int) -> DataFrame:
         if held:
             yield from done()
 
-    return pieces.repartition("cell", "lane", "q").sortWithinPartitions("cell", "lane", "q").mapInArrow(run, RESULT)
+    return pieces.repartition("cell", "lane", "q").sortWithinPartitions("cell", "lane", "q").mapInArrow(frugal(run), RESULT)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
@@ -224,7 +224,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                 codes, norm, correction = encode(x - at[cell], turn)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(correction), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "asks", "cell", "code", "norm", "correction", "vector"])
 
-    indexed = valid.mapInArrow(index, "vec_id long, asks boolean, cell int, code binary, norm double, correction double, vector binary")
+    indexed = valid.mapInArrow(frugal(index), "vec_id long, asks boolean, cell int, code binary, norm double, correction double, vector binary")
     indexed = staged(indexed.withColumn("row", F.monotonically_increasing_id()), "index")
     sizes = {r["cell"]: r for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("radius")).collect()}  # at most MAX_CELLS rows
     lanes = [-(-sizes[c]["n"] // block) if c in sizes else 0 for c in range(cells)]
@@ -251,7 +251,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.nonzero(found)[1].astype(np.int32)))], names=[*b.schema.names, "cells"])
 
     kept = "row long, vec_id long, vector binary, code binary, norm double, correction double, floor double"
-    asks = asks.select(*(c.split()[0] for c in kept.split(", "))).mapInArrow(reach, f"{kept}, cells array<int>")
+    asks = asks.select(*(c.split()[0] for c in kept.split(", "))).mapInArrow(frugal(reach), f"{kept}, cells array<int>")
     asks = asks.withColumn("cell", F.explode("cells")).withColumn("lane", F.explode(F.sequence(F.lit(0), of_cell - 1))).withColumn("side", F.lit(0)).withColumn("q", lot(3, F.lit(turns)))
     holds = holds.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     best = _search(asks.select(*columns).unionByName(holds.select(*columns)), at, k, dim)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +68,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
+def frugal(run: Callable[[Iterator[Any]], Iterator[Any]]) -> Callable[[Iterator[Any]], Iterator[Any]]:
+    """``run``, after which its Python worker gives freed memory back: workers live on from task to task."""
+
+    def frugally(batches: Iterator[Any]) -> Iterator[Any]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return frugally
+
+
 def texts_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``text`` (null as empty) and the columns to keep, as one struct named ``_kept``.
 
@@ -88,7 +104,7 @@ def rewritten(rows: DataFrame, by: str, rewrite: Callable[[str, Any], tuple], ow
 
     kept = f"_kept {rows.schema['_kept'].dataType.simpleString()}, " if keep else ""
     schema = "doc_id long, " + kept + ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in own)
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(frugal(run), schema)
     return out.select("doc_id", *(n for n, _ in own), *(F.col("_kept")[c].alias(c) for c in keep))
 
 

@@ -8,15 +8,19 @@ similarity of their sets is at least ``threshold``, decided in integers on the f
 2. ``bands`` hashes of ``rows`` minima each: ``banding`` takes the most selective number of rows
    whose number of bands, within the number of minima given, misses a pair at the threshold with
    probability below ``miss``.
-3. Band hashes are shuffled; each member of a bucket is tied to its smallest member, a star and not
-   all pairs. Components of these ties are the candidate clusters, so all documents that share
-   a bucket stand in one cluster.
-4. Sets are fetched once for documents in clusters. A cluster larger than a block is dealt into
-   blocks, and each pair of blocks is a piece of work of its own, so no task holds a cluster.
-   In a piece of work all pairs are compared by products of incidence matrices; what leaves it is
-   one row per document: its number of links and one tie of a spanning forest.
+3. Band hashes are shuffled. The pairs that share a bucket are checked first, by their sketches (a byte
+   of each minimum): two members are tied if so many bytes are equal that a pair at the threshold
+   misses it by ``SPREAD`` standard deviations at most. Who is like the bucket's first member needs no more; the
+   others are held against all. A bucket of more than ``BUCKET`` members ties all to its first one instead,
+   since what follows decides either way.
+4. Components of the ties are clusters. Sets are fetched once for documents in clusters. A cluster larger
+   than a block is dealt into blocks, and each pair of blocks is a piece of work of its own, so no task
+   holds a cluster. In a piece of work all pairs are verified by products of incidence matrices; what
+   leaves it is one row per document: its number of links and one tie of a spanning forest.
 5. Components of the verified ties are the classes.
 
+A set's elements are 64-bit hashes of its runs of words, and word sequences are told apart by two of them.
+
 Cases: null text counts as empty; documents without words have no set and are linked to nothing.
 Copies are linked (similarity 1) and counted, but never expanded into pairs. An empty table gives
 no rows. Extra columns are ignored.
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts_of
+from .common import frugal, staged, texts_of
 from .components import components
 from .textblocks import Block, gram_hashes, mix64, row_blocks, words
 
@@ -39,6 +43,8 @@ N_WORDS = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction
 MISS = 1e-5
 MINIMA = 256
+SPREAD = 5.0
+BUCKET = 1024
 BLOCK_DOCS = 400
 BLOCK_GRAMS = 1_000_000
 COLUMNS = 4096
@@ -80,14 +86,14 @@ def gram_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return element[by], owner[by], whole[0].view(np.int64), whole[1].view(np.int64)
 
 
-def band_hashes(element: np.ndarray, owner: np.ndarray, docs: int, bands: int, rows: int) -> np.ndarray:
-    """Band hashes (documents x bands); documents without elements have no meaning there."""
+def band_hashes(element: np.ndarray, owner: np.ndarray, docs: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (documents x bands) and sketches (documents x minima); documents without elements have no meaning there."""
     rng = np.random.Generator(np.random.PCG64(20240607))
     factor = rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32) | np.uint32(1)
     shift = rng.integers(0, 1 << 32, bands * rows, np.uint64).astype(np.uint32)
-    out = np.zeros((docs, bands), np.uint64)
+    out, sketch = np.zeros((docs, bands), np.uint64), np.zeros((docs, bands * rows), np.uint8)
     if not len(element):
-        return out
+        return out, sketch
     filled, at = np.unique(owner, return_index=True)
     x = (element >> np.uint64(32)).astype(np.uint32)
     y = np.empty_like(x)
@@ -97,9 +103,11 @@ def band_hashes(element: np.ndarray, owner: np.ndarray, docs: int, bands: int, r
             np.multiply(x, factor[r], out=y)
             np.add(y, shift[r], out=y)
             y ^= y >> np.uint32(15)
-            band = mix64(band ^ np.minimum.reduceat(y, at).astype(np.uint64))
+            least = np.minimum.reduceat(y, at)
+            sketch[filled, r] = least.astype(np.uint8)
+            band = mix64(band ^ least.astype(np.uint64))
         out[filled, b] = band
-    return out
+    return out, sketch
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -108,11 +116,77 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             texts = b.column("text").to_pylist()
             for lo, hi in row_blocks(texts):
                 element, owner, one, two = gram_sets(Block(texts[lo:hi]), n)
-                sig = band_hashes(element, owner, hi - lo, bands, rows)
+                sig, sketch = band_hashes(element, owner, hi - lo, bands, rows)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), pa.array(sig.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.bincount(owner, minlength=hi - lo)), pa.array(one), pa.array(two), flat], names=["doc_id", "n_grams", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.bincount(owner, minlength=hi - lo)), pa.array(one), pa.array(two), flat, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n_grams", "one", "two", "bands", "sketch"])
+
+    return docs.mapInArrow(frugal(run), "doc_id long, n_grams long, one long, two long, bands array<long>, sketch binary")
+
+
+def least_equal(threshold: tuple[int, int], minima: int) -> int:
+    """Equal bytes of two sketches that a pair at the threshold has, but for ``SPREAD`` standard deviations."""
+    t = threshold[0] / threshold[1]
+    return int(minima * t - SPREAD * (minima * t * (1 - t)) ** 0.5)
+
+
+def bucket_ties(sketch: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Ties of a spanning forest of a bucket's members (places), like pairs connected.
+
+    Each member in turn that isn't like an earlier centre becomes a centre and is held against all. Two members like
+    two centres haven't met then, so what is left is to hold the groups against one another.
+    """
+    group = np.full(len(sketch), -1)
+    root = np.arange(len(sketch))
+    for c in range(len(sketch)):
+        if group[c] < 0:
+            like = np.flatnonzero((sketch == sketch[c]).sum(axis=1) >= least)
+            group[like[group[like] < 0]] = c
+            for i in like.tolist():
+                if root[i] != root[c]:
+                    yield i, c
+                    root[root == root[i]] = root[c]
+    for x in range(len(sketch)):
+        others = np.flatnonzero(root != root[x])
+        if group[x] != x and len(others):
+            for i in others[(sketch[others] == sketch[x]).sum(axis=1) >= least].tolist():
+                if root[i] != root[x]:
+                    yield i, x
+                    root[root == root[i]] = root[x]
+
+
+def _bucket_ties(members: DataFrame, least: int) -> DataFrame:
+    """Ties of members (``bucket``, ``rep``, ``sketch``) that are alike; a bucket's members come together."""
+
+    def ties(bucket: np.ndarray, rep: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        size = np.diff(first, append=len(bucket))
+        centre = np.repeat(first, size)
+        like = (sketch == sketch[centre]).sum(axis=1) >= least
+        whole = np.minimum.reduceat(like, first)  # all are like the first one
+        plain = np.repeat(whole, size) & (np.arange(len(rep)) != centre)
+        src, dst = [rep[plain]], [rep[centre[plain]]]
+        for lo, n in zip(first[~whole].tolist(), size[~whole].tolist(), strict=True):
+            if found := list(bucket_ties(sketch[lo : lo + n], least)):
+                i, j = np.array(found).T
+                src.append(rep[lo + i])
+                dst.append(rep[lo + j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = b.column("bucket").to_numpy(), b.column("rep").to_numpy(), np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            now = now if held is None else tuple(map(np.concatenate, zip(held, now, strict=True)))
+            cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0  # the last bucket may go on
+            if cut:
+                yield from ties(*(x[:cut] for x in now))
+            held = tuple(x[cut:] for x in now)
+        if held is not None:
+            yield from ties(*held)
 
-    return docs.mapInArrow(run, "doc_id long, n_grams long, one long, two long, bands array<long>")
+    return members.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(frugal(run), "src long, dst long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -128,7 +202,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in b.schema.names if c != "text"), pa.array(sets, pa.binary())], names=[*(c for c in b.schema.names if c != "text"), "grams"])
 
     schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(run, f"{schema}, grams binary")
+    return docs.mapInArrow(frugal(run), f"{schema}, grams binary")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
@@ -223,7 +297,7 @@ def _verified(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             out.extend(_work(held, key[1] != key[2], threshold))
         yield from done(True)
 
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "rep long, links long, tie long")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(frugal(run), "rep long, links long, tie long")
 
 
 def jaccard_classes(docs: DataFrame, n: int = N_WORDS, threshold: tuple[int, int] = THRESHOLD, miss: float = MISS, minima: int = MINIMA) -> DataFrame:
@@ -239,8 +313,13 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, threshold: tuple[int, int
     copies = staged(full.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "copies")
     reps = full.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     bucket = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket"))  # the band's number is in the hash
-    centre = staged(bucket.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").drop("last"), "centres")  # so that a large bucket can be split in the join
-    ties = bucket.join(centre, "bucket").filter("rep <> centre").select(F.col("rep").alias("src"), F.col("centre").alias("dst"))
+    shared = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).filter("n > 1")
+    shared = staged(shared, "buckets")  # so that a large bucket can be split in the join
+    member = bucket.join(shared, "bucket")
+    of_doc = member.filter(F.col("n") <= BUCKET).groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # at most one per band
+    sketched = of_doc.join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("rep", "sketch", F.explode("buckets").alias("bucket"))
+    ties = _bucket_ties(sketched, least_equal(threshold, bands * rows))
+    ties = ties.unionByName(member.filter((F.col("n") > BUCKET) & (F.col("rep") != F.col("centre"))).select(F.col("rep").alias("src"), F.col("centre").alias("dst")))
     clusters = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     member = clusters.join(copies.select("rep", "copies"), "rep").join(full.select(F.col("doc_id").alias("rep"), "n_grams"), "rep")
     member = staged(member, "members")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 from .textblocks import LETTER, Block, char_classes, mix64, row_blocks
 
 BUCKETS = 1 << 14
@@ -125,7 +125,7 @@ def fit(docs: DataFrame) -> LanguageModel:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((BUCKETS, len(languages)))
     if languages:
@@ -146,4 +146,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names, scores, sets = model.predict(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores), pa.array(sets, pa.string())], names=["doc_id", "lang_pred", "score", "languages"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, languages string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import model
-from .common import parallelism, staged, texts_of
+from .common import frugal, parallelism, staged, texts_of
 from .textblocks import row_blocks
 
 CAPACITY = 1024
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: in
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return texts_of(docs).mapInArrow(run, PIECES)
+    return texts_of(docs).mapInArrow(frugal(run), PIECES)
 
 
 def best_fit_plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

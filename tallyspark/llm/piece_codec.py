@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import frugal, texts_of
 from .merge_table import TABLE_CHARS, MergeTable, encode_distinct
 from .textblocks import SEP, Block, piece_hashes, row_blocks, spread
 
@@ -120,4 +120,4 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 got = list(encode_texts(c, texts[lo:hi]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return texts_of(docs).mapInArrow(run, SCHEMA)
+    return texts_of(docs).mapInArrow(frugal(run), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 from .textblocks import row_blocks
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 8, 2, 24, 16
@@ -200,4 +200,4 @@ def score(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keep), pa.array(s)], names=[*keep, "score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "_text")
-    return kept.mapInArrow(run, f"{schema}, score double")
+    return kept.mapInArrow(frugal(run), f"{schema}, score double")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, rewritten, staged, texts_of
+from .common import dropped, frugal, rewritten, staged, texts_of
 from .textblocks import Block, gram_hashes, mix64, row_blocks, words
 
 WINDOW = 35
@@ -191,7 +191,7 @@ def _runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 doc, first, last, key, content = anchor_runs(Block(texts[lo:hi]), window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][doc]), pa.array(tids[lo:hi][doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key), pa.array(content)], names=["doc_id", "tid", "a", "b", "key", "content"])
 
-    return docs.mapInArrow(run, "doc_id long, tid int, a int, b int, key long, content long")
+    return docs.mapInArrow(frugal(run), "doc_id long, tid int, a int, b int, key long, content long")
 
 
 def _segment_texts(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _segment_texts(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame
                 cut = [b" ".join(w[lo : hi + window]) for lo, hi in zip(rows.field("a").to_pylist(), rows.field("b").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*own.values(), pa.array(cut, pa.binary())], names=[*own, "segment"])
 
-    return docs.join(lists, ["doc_id", "tid"]).mapInArrow(run, "key long, content long, n long, large boolean, segment binary")
+    return docs.join(lists, ["doc_id", "tid"]).mapInArrow(frugal(run), "key long, content long, n long, large boolean, segment binary")
 
 
 def _shards(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _shards(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return segments.repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, HITS)
+    return segments.repartition("key").sortWithinPartitions("key", "content").mapInArrow(frugal(run), HITS)
 
 
 def _large_anchors(segments: DataFrame, window: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _large_anchors(segments: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two)], names=["key", "content", "n", "at", "one", "two"])
 
     # Dealt by content, which spreads an anchor's segments over all tasks.
-    each = segments.dropDuplicates(["key", "content"]).repartition("content").mapInArrow(run, "key long, content long, n long, at int, one long, two long")
+    each = segments.dropDuplicates(["key", "content"]).repartition("content").mapInArrow(frugal(run), "key long, content long, n long, at int, one long, two long")
     each = staged(each, "windows")
     often = staged(each.groupBy("one", "two").agg(F.sum("n").alias("places")).filter("places >= 2").drop("places"), "often")
     of_segment = each.join(often, ["one", "two"]).groupBy("key", "content").agg(F.array_sort(F.collect_set("at")).alias("hits"))  # at most one per window of a segment
