@@ -19,24 +19,48 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rewritten, staged, texts_of
+from .common import frugal, rewritten, staged, texts_of
+from .textblocks import SEP, Block, piece_hashes, row_blocks, words
 
 MIN_LINES = 3
 MIN_WORDS = 5  # of a shorter run, as many as a shingle of the Jaccard join
-HAS_WORD = r"[^ \t-\r]"
+
+
+def line_ids(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each line with a word: text, place among those of its text, 64-bit id, words, and lines of the text."""
+    block = Block(texts)
+    ends = np.flatnonzero((block.cp == 10) | (block.cp == SEP))
+    starts = np.append(0, ends[:-1] + 1)
+    at, _, _ = words(block)
+    count = np.diff(np.searchsorted(at, np.append(starts, len(block.cp))))
+    full = np.flatnonzero(count)
+    # A line's end cell is skipped, so that a text's last line has the id of an equal line elsewhere.
+    ids = piece_hashes(block.cp, starts, (block.cp == 10) | (block.cp == SEP)) if len(starts) else np.zeros(0, np.uint64)
+    doc = block.doc_of(starts[full])
+    lines = np.bincount(doc, minlength=len(texts))
+    place = np.arange(len(full)) - (np.cumsum(lines) - lines)[doc]
+    return doc, place, ids[full].view(np.int64), count[full], lines[doc]
 
 
 def _ids(docs: DataFrame, least: int) -> DataFrame:
-    """``doc_id``, ``at`` (place among the document's lines with words), ``name`` (hash of the line), ``words`` and ``of`` (lines of the document)."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(HAS_WORD))
-    each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("name"), F.size(F.split(F.btrim(x, F.lit(" \t\n\x0b\x0c\r")), r"[ \t-\r]+")).alias("words")))
-    return docs.select("doc_id", each.alias("lines")).filter(F.size("lines") >= least).select("doc_id", F.size("lines").alias("of"), F.posexplode("lines").alias("at", "line")).select("doc_id", "at", "line.name", "line.words", "of")
+    """``doc_id``, ``at`` (place among the document's lines with words), ``name`` (id of the line), ``words`` and ``of`` (lines of the document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, names = b.column("text").to_pylist(), b.column("doc_id").to_numpy()
+            for lo, hi in row_blocks(texts):
+                doc, *rest = line_ids(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi][doc]), *map(pa.array, (rest[0].astype(np.int32), rest[1], rest[2].astype(np.int32), rest[3].astype(np.int32)))], names=["doc_id", "at", "name", "words", "of"])
+
+    return docs.mapInArrow(frugal(run), "doc_id long, at int, name long, words int, of int").filter(F.col("of") >= least)
 
 
 def _shared(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +77,7 @@ def _pairs(names: DataFrame, step: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """Starts of runs that also begin earlier: ``doc_id``, ``at``, ``n`` (lines of the run)."""
-    names = _shared(_ids(docs, min_lines if min_words is None else 1), ["name"])
+    names = _shared(staged(_ids(docs, min_lines if min_words is None else 1), "ids"), ["name"])
     # Words before and up to the end of a run; lines that are gone are in no repeated run, so their words cancel out.
     upto = F.sum("words").over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     names = staged(names.withColumn("upto", upto).select("doc_id", "at", "name", (F.col("upto") - F.col("words")).alias("before"), "upto", "of"), "lines")

@@ -60,11 +60,14 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 _LINES = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
                   unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-run AS (SELECT a.doc_id, a.i, a.x || chr(10) || b.x || chr(10) || c.x AS s
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, count(*) OVER (PARTITION BY doc_id) AS lines,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+run AS (SELECT doc_id, i, 1 AS n, x AS s, w, lines FROM r
+        UNION ALL SELECT a.doc_id, a.i, 2, a.x || chr(10) || b.x, a.w + b.w, a.lines FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.i = a.i + 1
+        UNION ALL SELECT a.doc_id, a.i, 3, a.x || chr(10) || b.x || chr(10) || c.x, a.w + b.w + c.w, a.lines
         FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN r c ON c.doc_id = a.doc_id AND c.i = a.i + 2),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM run) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 2)) AS i FROM later),
+later AS (SELECT doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY n, s ORDER BY doc_id, i) AS k FROM run) WHERE k > 1 AND (n = 3 OR w >= 5 OR lines = n)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS i FROM later),
 lost AS (SELECT doc_id, p FROM r JOIN gone USING (doc_id, i)),
 t AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS t FROM l ANTI JOIN lost USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id)::BIGINT AS n_lines,
