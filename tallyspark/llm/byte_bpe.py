@@ -11,7 +11,7 @@ import json
 
 import numpy as np
 
-from .merge_table import TABLE_CHARS, MergeTable, encode_distinct
+from .merge_table import TABLE_CHARS, Distinct, MergeTable
 from .textblocks import BREAK, LETTER, OTHER, SEP, SPACE, Block, char_classes, piece_hashes, row_blocks, spread
 
 _models: dict[str, "ByteBPE"] = {}
@@ -66,6 +66,7 @@ class ByteBPE:
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             order["".join(chr(byte[c]) for c in a + b)] = r
+        self.distinct = Distinct()
         self.table = MergeTable(vocab, {p: order.get(p, -1) for p in vocab})
 
     def _encode_stretches(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ class ByteBPE:
         hashes = piece_hashes(cp, starts)
         real = cp[starts] != SEP
         starts, ends, hashes = starts[real], ends[real], hashes[real]
-        flat, counts, which = encode_distinct(hashes, lambda at: self._encode_stretches(cp, starts[at], ends[at]))
+        flat, counts, which = self.distinct.encode(hashes, lambda at: self._encode_stretches(cp, starts[at], ends[at]))
         ids, stops = spread(flat, counts, which)
         return ids, np.append(0, stops)[np.searchsorted(starts, block.stop, "left")]
 

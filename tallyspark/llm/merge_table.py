@@ -19,7 +19,8 @@ import numpy as np
 DENSE = 128  # symbols with most automaton edges, which get a dense table
 SLOTS = 1 << 21  # of remembered compatibility tests
 UNSET = -(1 << 40)
-TABLE_CHARS = 1 << 21  # of a block: larger blocks have fewer distinct stretches
+KEPT_IDS = 1 << 21
+TABLE_CHARS = 1 << 20  # of a block: larger blocks have fewer distinct stretches
 
 
 class MergeTable:
@@ -197,11 +198,32 @@ class MergeTable:
         return flat, counts
 
 
-def encode_distinct(hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the distinct stretches, flat; how many each has; which of them each stretch is.
+class Distinct:
+    """Ids of distinct stretches, by hash. Those of earlier blocks are kept, as far as ``KEPT_IDS`` ids go; then it starts afresh."""
 
-    ``encode`` gives flat ids and counts for the stretches at the places given to it.
-    """
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    ids, counts = encode(first)
-    return ids.astype("<u4"), counts, which
+    def __init__(self) -> None:
+        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encode(self, hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct stretches, flat; how many each has; which of them each stretch is.
+
+        ``encode`` gives flat ids and counts for the stretches at the places given to it.
+        """
+        own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, own)
+        new = np.append(self.hashes, np.uint64(0))[at] != own
+        new |= at == len(self.hashes)
+        if new.any():
+            ids, counts = encode(first[new])
+            if len(self.ids) + len(ids) > KEPT_IDS and len(self.ids):
+                self.__init__()
+                return self.encode(hashes, encode)
+            every = np.append(self.hashes, own[new])
+            order = np.argsort(every, kind="stable")
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)[order]
+            self.counts, self.hashes = np.append(self.counts, counts)[order], every[order]
+            self.ids = np.append(self.ids, ids.astype("<u4"))
+            at = np.searchsorted(self.hashes, own)
+        counts = self.counts[at]
+        stops = np.cumsum(counts)
+        return self.ids[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.starts[at] - (stops - counts), counts)], counts, which

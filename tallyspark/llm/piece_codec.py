@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import frugal, texts_of
-from .merge_table import TABLE_CHARS, MergeTable, encode_distinct
+from .merge_table import TABLE_CHARS, Distinct, MergeTable
 from .textblocks import SEP, Block, piece_hashes, row_blocks, spread
 
 SPACE_MARK = "▁"
@@ -49,6 +49,7 @@ class PieceCodec:
         self.raw_flat = np.frombuffer(b"".join(raw), np.uint8)
         self.split_spaces = not any(" " in p.lstrip(" ") for p in pieces)
         self.split_lines = not any("\n" in p for p in pieces)
+        self.distinct = Distinct()
         self.table = MergeTable(pieces, {p: -sp.get_score(i) for p, i in pieces.items()})
 
     def stretches(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +73,7 @@ class PieceCodec:
         starts, ends, real = self.stretches(block)
         hashes = piece_hashes(block.cp, starts)
         starts, ends, hashes = starts[real], ends[real], hashes[real]
-        flat, counts, which = encode_distinct(hashes, lambda at: self.encode_stretches(block.cp, starts[at], ends[at]))
+        flat, counts, which = self.distinct.encode(hashes, lambda at: self.encode_stretches(block.cp, starts[at], ends[at]))
         ids, stops = spread(flat, counts, which)
         return ids, np.append(0, stops)[np.searchsorted(starts, block.stop, "left")]
 

@@ -55,7 +55,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     digest = packing.staged(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return packing.place_pieces(spark, digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.place_pieces(spark, digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequences", "least_sequences")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
