@@ -4,9 +4,9 @@ Model: for each language the smoothed likelihood of character trigrams (lower ca
 one space, hashed to ``BUCKETS``), counted over all training texts. A word's likelihood under
 a language is the product over its letters' trigrams. A document is a mixture: every word comes from one
 language, and expectation-maximisation estimates the proportions. The language set is selected by
-penalised likelihood: of the sets of the 1, 2, .. ``MOST`` languages of largest proportion, each
-re-estimated, the one of largest log-likelihood less ``PENALTY`` * size * log(words). The predicted
-language has the largest proportion in it; the score is that proportion.
+penalised likelihood, log-likelihood less ``PENALTY`` * size * log(words): from the best single language, the
+language whose addition or removal gains most is added or removed, with the proportions re-estimated, until
+nothing gains. The predicted language has the largest proportion in the set; the score is that proportion.
 
 The model has ``BUCKETS`` numbers for each language, and languages are a closed list of labels, so it
 is small whatever the corpus; training counts are summed by Spark.
@@ -32,7 +32,6 @@ from .textblocks import LETTER, Block, char_classes, mix64, row_blocks
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
 ROUNDS = 8
-MOST = 3
 PENALTY = 1.0
 UNKNOWN = "und"
 
@@ -51,6 +50,19 @@ def letter_trigrams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), start, block.doc_of(at[start])
 
 
+def estimate(like: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each document after so many rounds of expectation-maximisation, and its log-likelihood.
+
+    ``like`` has a row for each word, ``count`` words belong to each document in turn.
+    """
+    first = np.cumsum(count) - count
+    for _ in range(rounds):
+        part = like * np.repeat(share, count, axis=0)
+        part /= part.sum(axis=1, keepdims=True)
+        share = np.add.reduceat(part, first, axis=0) / count[:, None]
+    return share, np.add.reduceat(np.log((like * np.repeat(share, count, axis=0)).sum(axis=1)), first)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -70,28 +82,30 @@ class LanguageModel:
         like = np.maximum(np.exp(score - top), 1e-30)
         filled, first, count = np.unique(doc, return_index=True, return_counts=True)
 
-        def estimate(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(rounds):
-                part = like * np.repeat(share, count, axis=0)
-                part /= part.sum(axis=1, keepdims=True)
-                share = np.add.reduceat(part, first, axis=0) / count[:, None]
-            seen = np.log((like * np.repeat(share, count, axis=0)).sum(axis=1))
-            return share, np.add.reduceat(seen, first)
-
         n = len(self.languages)
-        share, _ = estimate(np.full((len(filled), n), 1 / n), ROUNDS)
-        order = np.argsort(-share, axis=1, kind="stable")
-        place = np.argsort(order, axis=1, kind="stable")
-        best, best_value, size = None, None, None
-        for k in range(1, min(MOST, n) + 1):
-            mask = np.where(place < k, np.maximum(share, 1e-6), 0)
-            own, seen = estimate(mask / mask.sum(axis=1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
-            value = seen - PENALTY * k * np.log(count + 1)
-            if best is None:
-                best, best_value, size = own, value, np.ones(len(filled), int)
-            else:
-                better = value > best_value
-                best[better], best_value[better], size[better] = own[better], value[better], k
+        share, _ = estimate(like, count, np.full((len(filled), n), 1 / n), ROUNDS)
+        # One language: no proportions to estimate.
+        value = np.add.reduceat(np.log(like), first, axis=0) - PENALTY * np.log(count + 1)[:, None]
+        chosen = np.arange(n) == value.argmax(axis=1)[:, None]
+        best, best_value = chosen.astype(float), value.max(axis=1)
+        active = np.arange(len(filled))
+        while len(active):
+            mine = np.repeat(np.isin(np.arange(len(filled)), active, assume_unique=True), count)
+            gained = np.zeros(len(active), bool)
+            before, own, own_count = chosen[active], like[mine], count[active]
+            for j in range(n):
+                trial = before ^ (np.arange(n) == j)
+                start = np.where(trial, np.maximum(share[active], 1e-6), 0)
+                empty = ~trial.any(axis=1)
+                start[empty] = 1 / n
+                got, seen = estimate(own, own_count, start / start.sum(axis=1, keepdims=True), ROUNDS // 2)
+                value = seen - PENALTY * trial.sum(axis=1) * np.log(own_count + 1)
+                better = ~empty & (value > best_value[active] + 1e-9)
+                at = active[better]
+                chosen[at], best[at], best_value[at] = trial[better], got[better], value[better]
+                gained |= better
+            active = active[gained]
+        size = chosen.sum(axis=1)
         pick = best.argmax(axis=1)
         rank = np.argsort(-best, axis=1, kind="stable")
         for i, d in enumerate(filled.tolist()):

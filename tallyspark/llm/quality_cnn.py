@@ -40,13 +40,16 @@ _ROWS = HALF // STRIDE
 
 
 def halves(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded by zeros to whole halves with room for a filter; halves of each."""
+    """Bytes of all texts, each padded by zeros to whole halves, with room for a filter before and behind; halves of each.
+
+    What a filter sees beyond a text's halves is the zeros before the next text.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    n = (size + WIDTH + HALF - 1) // HALF
+    n = (size + 2 * WIDTH + HALF - 1) // HALF
     buffer = np.zeros(int(n.sum()) * HALF + WIDTH, np.uint8)
     at = 0
     for t, k in zip(texts, n.tolist(), strict=True):
-        buffer[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        buffer[at + WIDTH : at + WIDTH + len(t)] = np.frombuffer(t, np.uint8)
         at += k * HALF
     return buffer, n
 

@@ -113,9 +113,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max
     """
     docs = docs.select("doc_id", "text", F.col(stratum).cast("string").alias("stratum"))
     counts = staged(word_counts(docs, ["doc_id", "stratum"]), "counts")
-    verdicts = []
-    for s, by in choose_cutoffs(counts, labels, max_rejection, failure).items():
-        for name, c in by.items():
-            verdicts.append(F.when(F.col("stratum").eqNullSafe(F.lit(name)) & exceeds(s, c), F.lit(s)))
-    rejected = F.array_compact(F.array(*verdicts)) if verdicts else F.array().cast("array<string>")
-    return counts.withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    chosen = choose_cutoffs(counts, labels, max_rejection, failure)
+    strata = sorted({x for by in chosen.values() for x in by}, key=lambda x: (x is not None, x))
+    # One row a certified stratum; Spark broadcasts them if they are few.
+    table = docs.sparkSession.createDataFrame([(x, *(chosen[s].get(x) for s in SIGNALS)) for x in strata], "_stratum string, " + ", ".join(f"_{s} int" for s in SIGNALS))
+    judged = counts.join(table, counts["stratum"].eqNullSafe(table["_stratum"]), "left")
+    rejected = F.array_compact(F.array(*(F.when(exceeds(s, F.col(f"_{s}")), s) for s in SIGNALS)))
+    return judged.withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*table.columns)
