@@ -106,5 +106,16 @@ SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, copy_id,
 FROM copies"""
 
 
+_FILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::UBIGINT::BIGINT) AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS lo, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS hi,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _rules(), "op2_substring_dedup": _SUBSTRING, "op3_line_dedup": _LINES, "op4_chat_format": _CHATS, "op7_bit_search": _SEARCH, "op8_jaccard_join": _JACCARD}
+    return {"op1_quality_rules": _rules(), "op2_substring_dedup": _SUBSTRING, "op3_line_dedup": _LINES, "op4_chat_format": _CHATS, "op7_bit_search": _SEARCH, "op8_jaccard_join": _JACCARD, "op12_fill_middle": _FILL}
