@@ -117,5 +117,15 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
 FROM g"""
 
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT *, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS holder FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, 5 * i::INT + 1, 5))::INT) AS v FROM d)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _rules(), "op2_substring_dedup": _SUBSTRING, "op3_line_dedup": _LINES, "op4_chat_format": _CHATS, "op7_bit_search": _SEARCH, "op8_jaccard_join": _JACCARD, "op12_fill_middle": _FILL}
+    return {"op1_quality_rules": _rules(), "op2_substring_dedup": _SUBSTRING, "op3_line_dedup": _LINES, "op4_chat_format": _CHATS, "op7_bit_search": _SEARCH, "op8_jaccard_join": _JACCARD, "op12_fill_middle": _FILL, "op13_warc": _WARC}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, chat_format, fill_middle, jaccard_join, language_id, line_dedup, packing, piece_codec, quality_cnn, quality_rules, substring_dedup
+from . import bit_search, chat_format, fill_middle, jaccard_join, language_id, line_dedup, packing, piece_codec, quality_cnn, quality_rules, substring_dedup, warc
+from .common import staged
 
 
 def _tokenizer(name: str) -> str:
@@ -89,5 +90,13 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(_read(spark, sf_dir, "pages"))
+    read = warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = staged(read, "pages-read")
+    warc.removed(index)
+    return out
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_line_dedup, op4_chat_format, op5_best_fit_packing, op6_language_id, op7_bit_search, op8_jaccard_join, op9_quality_cnn, op10_piece_codec, op12_fill_middle)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_line_dedup, op4_chat_format, op5_best_fit_packing, op6_language_id, op7_bit_search, op8_jaccard_join, op9_quality_cnn, op10_piece_codec, op12_fill_middle, op13_warc)}
