@@ -106,6 +106,23 @@ SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, copy_id,
 FROM copies"""
 
 
+_PHRASES = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, (VALUES (1), (2)) s(k) WHERE k < words),
+s AS (SELECT cut.lang, cut.phrase, words, a, cut.k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS part FROM c WHERE words = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN held ON held.lang = b.lang AND held.part = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000"""
+
 _FILL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 e AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::UBIGINT::BIGINT) AS r FROM d),
@@ -128,4 +145,4 @@ FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _rules(), "op2_substring_dedup": _SUBSTRING, "op3_line_dedup": _LINES, "op4_chat_format": _CHATS, "op7_bit_search": _SEARCH, "op8_jaccard_join": _JACCARD, "op12_fill_middle": _FILL, "op13_warc": _WARC}
+    return {"op1_quality_rules": _rules(), "op2_substring_dedup": _SUBSTRING, "op3_line_dedup": _LINES, "op4_chat_format": _CHATS, "op7_bit_search": _SEARCH, "op8_jaccard_join": _JACCARD, "op11_collocations": _PHRASES, "op12_fill_middle": _FILL, "op13_warc": _WARC}

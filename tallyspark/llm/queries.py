@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_search, chat_format, fill_middle, jaccard_join, language_id, line_dedup, packing, piece_codec, quality_cnn, quality_rules, substring_dedup, warc
+from . import bit_search, chat_format, collocations, fill_middle, jaccard_join, language_id, line_dedup, packing, piece_codec, quality_cnn, quality_rules, substring_dedup, warc
 from .common import staged
 
 
@@ -84,6 +84,10 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.fill_middle(_read(spark, sf_dir, "documents"))
     whole = fill_middle.restored(F.col("output"), F.col("form"))
@@ -99,4 +103,4 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_line_dedup, op4_chat_format, op5_best_fit_packing, op6_language_id, op7_bit_search, op8_jaccard_join, op9_quality_cnn, op10_piece_codec, op12_fill_middle, op13_warc)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_line_dedup, op4_chat_format, op5_best_fit_packing, op6_language_id, op7_bit_search, op8_jaccard_join, op9_quality_cnn, op10_piece_codec, op11_collocations, op12_fill_middle, op13_warc)}
