@@ -12,7 +12,7 @@ import json
 import numpy as np
 
 from .merge_table import TABLE_CHARS, Distinct, MergeTable
-from .textblocks import BREAK, LETTER, OTHER, SEP, SPACE, Block, char_classes, piece_hashes, row_blocks, spread
+from .textblocks import BREAK, LETTER, OTHER, SEP, SPACE, Block, char_classes, piece_hashes, ranges, row_blocks, spread
 
 _models: dict[str, "ByteBPE"] = {}
 #: Fixed values of the splitting rule: contractions that stand alone behind an apostrophe.
@@ -71,7 +71,7 @@ class ByteBPE:
 
     def _encode_stretches(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lens = ends - starts
-        cells, stops = cp[_ranges(starts, lens)], np.cumsum(lens)
+        cells, stops = cp[ranges(starts, lens)], np.cumsum(lens)
         width = 1 + (cells > 0x7F).astype(np.int64) + (cells > 0x7FF) + (cells > 0xFFFF)
         raw = np.frombuffer(cells.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.uint32)
         at = np.append(0, np.cumsum(width))[np.append(0, stops)]
@@ -85,7 +85,7 @@ class ByteBPE:
         hashes = piece_hashes(cp, starts)
         real = cp[starts] != SEP
         starts, ends, hashes = starts[real], ends[real], hashes[real]
-        flat, counts, which = self.distinct.encode(hashes, lambda at: self._encode_stretches(cp, starts[at], ends[at]))
+        flat, counts, which = self.distinct.encode(cp, starts, ends, hashes, lambda at: self._encode_stretches(cp, starts[at], ends[at]))
         ids, stops = spread(flat, counts, which)
         return ids, np.append(0, stops)[np.searchsorted(starts, block.stop, "left")]
 
@@ -102,13 +102,6 @@ class ByteBPE:
         return out
 
 
-def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Indices of all cells of the ranges, one after the other."""
-    stops = np.cumsum(lens)
-    total = int(stops[-1]) if len(stops) else 0
-    return np.arange(total) + np.repeat(starts - (stops - lens), lens)
-
-
 def model(path: str) -> ByteBPE:
     """The vocabulary of this path, loaded once in each worker."""
     if path not in _models:

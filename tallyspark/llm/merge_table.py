@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from .textblocks import equal_ranges, ranges
+
 DENSE = 128  # symbols with most automaton edges, which get a dense table
 SLOTS = 1 << 21  # of remembered compatibility tests
 UNSET = -(1 << 40)
@@ -199,31 +201,41 @@ class MergeTable:
 
 
 class Distinct:
-    """Ids of distinct stretches, by hash. Those of earlier blocks are kept, as far as ``KEPT_IDS`` ids go; then it starts afresh."""
+    """Ids of distinct stretches, found by hash and compared as code points. Those of earlier blocks are kept, as far as ``KEPT_IDS`` ids go; then it starts afresh."""
 
     def __init__(self) -> None:
-        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.hashes, self.ids, self.cells = np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.zeros(0, np.uint32)
+        self.starts = self.counts = self.cell_starts = self.cell_counts = np.zeros(0, np.int64)
 
-    def encode(self, hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the distinct stretches, flat; how many each has; which of them each stretch is.
+    def encode(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct stretches ``cp[starts[i]:ends[i]]``, flat; how many each has; which of them each stretch is.
 
         ``encode`` gives flat ids and counts for the stretches at the places given to it.
         """
+        lens = ends - starts
         own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, own)
         new = np.append(self.hashes, np.uint64(0))[at] != own
         new |= at == len(self.hashes)
         if new.any():
-            ids, counts = encode(first[new])
+            fresh = first[new]
+            ids, counts = encode(fresh)
             if len(self.ids) + len(ids) > KEPT_IDS and len(self.ids):
                 self.__init__()
-                return self.encode(hashes, encode)
+                return self.encode(cp, starts, ends, hashes, encode)
             every = np.append(self.hashes, own[new])
             order = np.argsort(every, kind="stable")
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)[order]
-            self.counts, self.hashes = np.append(self.counts, counts)[order], every[order]
-            self.ids = np.append(self.ids, ids.astype("<u4"))
+            self.starts, self.counts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)[order], np.append(self.counts, counts)[order]
+            self.cell_starts, self.cell_counts = np.append(self.cell_starts, len(self.cells) + np.cumsum(lens[fresh]) - lens[fresh])[order], np.append(self.cell_counts, lens[fresh])[order]
+            self.hashes, self.ids = every[order], np.append(self.ids, ids.astype("<u4"))
+            self.cells = np.append(self.cells, cp[ranges(starts[fresh], lens[fresh])].astype(np.uint32))
             at = np.searchsorted(self.hashes, own)
+        kept = at[which]
+        unlike = np.flatnonzero(~equal_ranges(cp, starts, self.cells, self.cell_starts[kept], lens, self.cell_counts[kept]))
         counts = self.counts[at]
-        stops = np.cumsum(counts)
-        return self.ids[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.starts[at] - (stops - counts), counts)], counts, which
+        flat = self.ids[ranges(self.starts[at], counts)]
+        if len(unlike):  # another stretch has this hash: its ids aren't kept
+            ids, more = encode(unlike)
+            which[unlike] = len(own) + np.arange(len(unlike))
+            flat, counts = np.append(flat, ids.astype("<u4")), np.append(counts, more)
+        return flat, counts, which

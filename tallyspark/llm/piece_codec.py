@@ -73,7 +73,7 @@ class PieceCodec:
         starts, ends, real = self.stretches(block)
         hashes = piece_hashes(block.cp, starts)
         starts, ends, hashes = starts[real], ends[real], hashes[real]
-        flat, counts, which = self.distinct.encode(hashes, lambda at: self.encode_stretches(block.cp, starts[at], ends[at]))
+        flat, counts, which = self.distinct.encode(block.cp, starts, ends, hashes, lambda at: self.encode_stretches(block.cp, starts[at], ends[at]))
         ids, stops = spread(flat, counts, which)
         return ids, np.append(0, stops)[np.searchsorted(starts, block.stop, "left")]
 

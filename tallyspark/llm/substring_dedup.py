@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, frugal, rewritten, staged, texts_of
-from .textblocks import Block, gram_hashes, mix64, row_blocks, words
+from .textblocks import Block, gram_hashes, mix64, row_blocks, window_hashes, words
 
 WINDOW = 35
 GRAM = 12
@@ -74,17 +74,9 @@ def anchor_runs(block: Block, window: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new & valid)
     stop = np.append(np.flatnonzero(new | ~valid), n)
     last = stop[np.searchsorted(stop, first, "right")] - 1
-    # The content: words first .. last + window - 1, by a hash over prefix sums.
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    power = np.full(len(hashes) + 1, odd)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    inverse = np.uint64(pow(int(odd), -1, 1 << 64))
-    unpower = np.full(len(hashes) + 1, inverse)
-    unpower[0] = 1
-    unpower = np.multiply.accumulate(unpower)
-    sums = np.append(np.uint64(0), np.cumsum(hashes * power[:-1]))
-    content = (sums[last + window] - sums[first]) * unpower[first] + (last - first).astype(np.uint64) * odd
+    # The content is its first and its last window, which meet or overlap, and how far apart they are.
+    whole = window_hashes(hashes, window)
+    content = mix64(whole[first] ^ mix64(whole[last] + (last - first).astype(np.uint64)))
     base = np.searchsorted(doc, doc[first], "left")
     return doc[first], first - base, last - base, grams[anchor[first]].view(np.int64), content.view(np.int64)
 
@@ -174,10 +166,10 @@ def shard_hits(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator
             yield key, content, first, last
 
 
-def window_hashes(segment: bytes, window: int) -> np.ndarray:
+def two_hashes(segment: bytes, window: int) -> np.ndarray:
     """Two 64-bit hashes (rows) of each window of a segment."""
     _, _, hashes = words(Block([segment.decode()]))
-    return np.stack([gram_hashes(hashes, window), gram_hashes(mix64(hashes), window)]).view(np.int64)
+    return np.stack([window_hashes(hashes, window), window_hashes(mix64(hashes), window)]).view(np.int64)
 
 
 HITS = "key long, content long, first array<int>, last array<int>"
@@ -245,7 +237,7 @@ def _large_anchors(segments: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, content, n, segment in zip(*(b.column(c).to_pylist() for c in ("key", "content", "n", "segment")), strict=True):
-                one, two = window_hashes(segment, window)
+                one, two = two_hashes(segment, window)
                 same = [pa.array(np.full(len(one), x)) for x in (key, content, n)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(one), dtype=np.int32)), pa.array(one), pa.array(two)], names=["key", "content", "n", "at", "one", "two"])
 

@@ -18,7 +18,6 @@ SEP = np.uint32(0x110000)  # outside Unicode: no text holds it
 
 U = np.uint64
 _M1, _M2, _GOLD = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-_BASE = U(0xD1342543DE82EF95)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,32 +56,53 @@ class Block:
 
 
 @lru_cache(1)
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE, U)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+def _places(n: int) -> np.ndarray:
+    return mix64(np.arange(n, dtype=U))
 
 
 def piece_hashes(cp: np.ndarray, starts: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of the pieces that begin at ``starts`` and run to the next; cells in ``skip`` don't count."""
+    """64-bit hashes of the pieces that begin at ``starts`` and run to the next; cells in ``skip`` don't count.
+
+    A character's term is mixed with its place in the piece before terms are added, so that no two texts of two characters cancel out at any length.
+    """
     if not len(starts):
         return np.zeros(0, U)
     cp = cp[starts[0] :]
     offs = starts - starts[0]
     lens = np.diff(offs, append=len(cp))
-    value = cp.astype(U) + U(1)
+    pos = np.arange(len(cp), dtype=np.int64)
+    pos -= np.repeat(offs, lens)
+    longest = int(lens.max())
+    value = _places(max(1 << 16, 1 << (longest - 1).bit_length()))[pos]
+    value ^= cp
     value *= _M1
     value ^= value >> U(29)
     value *= _M2
+    value ^= value >> U(32)
     if skip is not None:
         value[skip[starts[0] :]] = 0
-    pos = np.arange(len(cp), dtype=np.int64)
-    pos -= np.repeat(offs, lens)
-    longest = int(lens.max())
-    value *= _powers(max(1 << 16, 1 << (longest - 1).bit_length()))[pos]
     return mix64(np.add.reduceat(value, offs))
 
 
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indices of all cells of the ranges, one after the other."""
+    stops = np.cumsum(lens)
+    total = int(stops[-1]) if len(stops) else 0
+    return np.arange(total) + np.repeat(starts - (stops - lens), lens)
+
+
+def equal_ranges(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, a_lens: np.ndarray, b_lens: np.ndarray) -> np.ndarray:
+    """Whether each range of ``a`` holds what its range of ``b`` holds."""
+    out = a_lens == b_lens
+    at = np.flatnonzero(out)
+    lens = a_lens[at]
+    mine = ranges(a_starts[at], lens)
+    unlike = a[mine] != b[mine + np.repeat(b_starts[at] - a_starts[at], lens)]
+    if unlike.any():
+        out[np.repeat(at, lens)[unlike]] = False
+    return out
+
+
 _ASCII_WS = np.zeros(0x110001, bool)
 _ASCII_WS[[0x20, *range(9, 14), int(SEP)]] = True
 
@@ -108,6 +128,19 @@ def gram_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     return mix64(total)
 
 
+def window_hashes(word_hash: np.ndarray, width: int) -> np.ndarray:
+    """As ``gram_hashes``, by doubling: each step joins two hashes of half the words, in order."""
+    joined = lambda a, b: mix64(a ^ mix64(b ^ _GOLD))
+    done, h = 1, word_hash
+    while 2 * done <= width and len(h) > done:
+        h = joined(h[:-done], h[done:])
+        done *= 2
+    rest = width - done
+    if len(word_hash) < width:
+        return np.zeros(0, U)
+    return joined(h[: len(h) - rest], h[rest:]) if rest else h
+
+
 #: Character classes for the splitters.
 LETTER, NUMBER, SPACE, OTHER, BREAK = 0, 1, 2, 3, 4
 
