@@ -61,9 +61,9 @@ def _power(digits: Column) -> Column:
 
 def _quantity(number: Column, unit: str, scale: Column, neg: Column) -> Column:
     clean = F.replace(number, F.lit(","), F.lit(""))
-    value = (clean.try_cast("decimal(25,10)") * scale).cast(DEC)
+    value = (clean.try_cast("decimal(25,10)") * scale).try_cast(DEC)  # null where it is too large: no figure then
     digits = F.when(F.contains(clean, F.lit(".")), F.length(F.substring_index(clean, ".", -1))).otherwise(0)
-    return F.when(value.isNotNull(), F.struct(F.when(neg, -value).otherwise(value).cast(DEC).alias("value"), F.lit(unit).alias("unit"), (_power(digits) * scale).cast(DEC).alias("quantum")))
+    return F.when(value.isNotNull(), F.struct(F.when(neg, -value).otherwise(value).cast(DEC).alias("value"), F.lit(unit).alias("unit"), (_power(digits) * scale).try_cast(DEC).alias("quantum")))
 
 
 def parse_quantity(text: Column) -> Column:
@@ -97,12 +97,13 @@ def parse_range(text: Column) -> Column:
 
 def midpoint(r: Column) -> Column:
     """Quantity halfway, at the precision of the low end."""
-    return F.struct(((r["low"]["value"] + r["high"]["value"]) * F.lit("0.5").cast("decimal(2,1)")).cast(DEC).alias("value"), r["low"]["unit"].alias("unit"), r["low"]["quantum"].alias("quantum"))
+    return F.struct(((r["low"]["value"] + r["high"]["value"]) * F.lit("0.5").cast("decimal(2,1)")).try_cast(DEC).alias("value"), r["low"]["unit"].alias("unit"), r["low"]["quantum"].alias("quantum"))
 
 
 def round_to(value: Column, quantum: Column) -> Column:
-    """Half-up, away from zero; unchanged for a quantum that isn't positive."""
-    return F.when(quantum > 0, (F.round(value / quantum, 0).cast("decimal(28,0)") * quantum).cast(DEC)).otherwise(value)
+    """Half-up, away from zero; unchanged for a quantum that isn't positive, null where the result is too large."""
+    steps = F.round(F.try_divide(value, quantum), 0).try_cast("decimal(28,0)")
+    return F.when(quantum > 0, F.try_multiply(steps, quantum).try_cast(DEC)).otherwise(value)
 
 
 def matches(value: Column, quantum: Column, source: Column) -> Column:

@@ -13,7 +13,7 @@ from ..operators.verify import parsed, verify_claims
 from ..sources import documents as D
 from ..sources import filings, guidance, releases
 from ..sources.vocabulary import aliases_table, default_aliases, default_metrics, metrics_table, vocabulary
-from . import star, wider
+from . import more, star, wider
 from .base import BASE, KEY as _KEY, PAIRS as _PAIRS, facts as _facts_sql, million as _m
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,6 +352,7 @@ SELECT doc_id, length(regexp_replace(regexp_replace(t, '\n[\s\x0B\x85\p{Z}]*\n[\
         "alias_vocabulary": _aliases_sql(),
         "default_entity": "SELECT 'star' AS tenant_id, n_name AS entity FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation)",
         **wider.SQL,
+        **more.SQL,
     }
 
 
@@ -364,4 +365,4 @@ ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL} | wider.QUERIES
+    return {f.__name__: f for f in ALL} | wider.QUERIES | more.QUERIES

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,22 +52,19 @@ def label_periods(chosen: DataFrame) -> DataFrame:
     return chosen.withColumn("period", F.coalesce(stated, F.col("slot"))).withColumn("assumed", stated.isNull())
 
 
+_SLOT = "struct<slot:string,period:string,url:string>"
+
+
 def distinct_slots(chosen: DataFrame) -> DataFrame:
     """Newest slot first, a release whose period or address an earlier slot has taken is left out.
 
-    Sequential over the few slots of one issuer, so it runs per issuer.
+    Which slots stay is a fold over the slots of an issuer, a few structs without texts.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        keep = []
-        for r in pdf.sort_values("slot", ascending=False).itertuples():
-            if not {f"p:{r.period}", f"u:{r.url}"} & seen:
-                seen |= {f"p:{r.period}", f"u:{r.url}"}
-                keep.append(r.Index)
-        return pdf.loc[keep]
-
-    return chosen.groupBy("issuer").applyInPandas(pick, chosen.schema)
+    slots = F.array_sort(F.collect_list(F.struct("slot", "period", F.coalesce("url", F.lit("")).alias("url")).cast(_SLOT)), lambda a, b: F.when(a["slot"] > b["slot"], -1).when(a["slot"] < b["slot"], 1).otherwise(0))
+    taken = lambda kept, x: F.exists(kept, lambda k: (k["period"] == x["period"]) | ((k["url"] != "") & (k["url"] == x["url"])))
+    kept = F.aggregate(slots, F.array().cast(f"array<{_SLOT}>"), lambda kept, x: F.when(taken(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    open_slots = chosen.groupBy("issuer").agg(kept.alias("kept")).select("issuer", F.explode(F.transform("kept", lambda k: k["slot"])).alias("slot"))
+    return chosen.join(open_slots, ["issuer", "slot"], "left_semi")
 
 
 def claimed_quarter(releases: DataFrame) -> DataFrame:
@@ -78,36 +74,89 @@ def claimed_quarter(releases: DataFrame) -> DataFrame:
     return releases.withColumn("stated", own.isNotNull()).withColumn("key", F.coalesce(own, fallback)).withColumn("n_figures", figure_count(F.col("text")))
 
 
-def select_quarters(releases: DataFrame, quarters: int = 4) -> DataFrame:
-    """One release for each of the newest ``quarters`` of every issuer.
+_HELD = "struct<key:string,accession:string,filing_date:string,stated:boolean,n_figures:bigint,warnings:array<string>>"
+_STATE = f"struct<held:array<{_HELD}>,missing:array<string>,done:boolean>"
+NO_FIGURES = "no figures detected in text"
+
+
+def _start() -> Column:
+    return F.struct(F.array().alias("held"), F.array().alias("missing"), F.lit(False).alias("done")).cast(_STATE)
+
+
+def _state(held: Column, missing: Column, done: Column | bool) -> Column:
+    return F.struct(held.alias("held"), missing.alias("missing"), (F.lit(done) if isinstance(done, bool) else done).alias("done")).cast(_STATE)
+
+
+def _better(now: Column, x: Column) -> Column:
+    """The better of two filings for one quarter, with a note of the other: a stated quarter, then more figures, then the newer."""
+    wins = (x["stated"] & ~now["stated"]) | ((x["stated"] == now["stated"]) & (x["n_figures"] > now["n_figures"]))
+
+    def kept(one: Column, other: Column) -> Column:
+        note = F.concat(one["key"], F.lit(" also claimed by "), other["accession"], F.lit(" (filed "), other["filing_date"], F.lit(", "), other["n_figures"].cast("string"), F.lit(" figures) — kept this release"))
+        return F.struct(*(one[c].alias(c) for c in ("key", "accession", "filing_date", "stated", "n_figures")), F.concat(one["warnings"], F.array(note)).alias("warnings")).cast(_HELD)
+
+    return F.when(wins, kept(x, now)).otherwise(kept(now, x))
 
-    Filings come newest first. Of two for one quarter the one that states it wins, then the one with more
-    figures, then the newer. Once the window is full, an older stated quarter takes the place of the first
-    one that is not stated; the first that can't ends the walk. The walk depends on order, so it
-    runs per issuer, over the texts' digests only.
+
+def _walked(state: Column, filings: Column, quarters: int) -> Column:
+    """The state after filings (newest first): a fold, which takes no more once it is done."""
+
+    def step(s: Column, x: Column) -> Column:
+        held, missing = s["held"], s["missing"]
+        same = F.exists(held, lambda h: h["key"] == x["key"])
+        soft = F.array_position(F.transform(held, lambda h: h["stated"]), False)  # the first that isn't stated gives way
+        others = F.filter(held, lambda h, i: i + 1 != soft)
+        return (
+            F.when(s["done"], s)
+            .when(~x["located"], _state(held, F.concat(missing, F.array(F.concat(x["filing"]["accession"], F.lit(": no EX-99.1 located in the filing index")))), False))
+            .when(same, _state(F.transform(held, lambda h: F.when(h["key"] == x["key"], _better(h, x["filing"])).otherwise(h)), missing, False))
+            .when(F.size(held) < quarters, _state(F.concat(held, F.array(x["filing"])), missing, False))
+            .when(x["filing"]["stated"] & (soft > 0), _state(F.concat(others, F.array(x["filing"])), missing, False))
+            .otherwise(_state(held, missing, True))
+        )
+
+    return F.aggregate(filings, state, step)
+
+
+def _listed(filings: DataFrame, order: list[str]) -> DataFrame:
+    """The filings of each issuer as one array in the order of the index: digests of the texts, no texts."""
+    rows = claimed_quarter(filings.withColumn("text", F.coalesce("text", F.lit(""))))
+    warn = F.when(F.col("n_figures") == 0, F.array(F.lit(NO_FIGURES))).otherwise(F.array().cast("array<string>"))
+    filing = F.struct("key", "accession", "filing_date", "stated", "n_figures", warn.alias("warnings")).cast(_HELD)
+    item = F.struct(*order, F.struct(F.col("located").alias("located"), F.col("key").alias("key"), filing.alias("filing")).alias("x"))
+    return rows.groupBy("issuer").agg(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["x"]).alias("filings"))  # as many as a company files
+
+
+def walk_quarters(recent: DataFrame, archives: DataFrame | None = None, quarters: int = 4) -> DataFrame:
+    """The newest ``quarters`` distinct quarters of each issuer, and what could not be had: one row an issuer.
+
+    ``recent`` are the filings of an index's recent block: issuer, pos (place in the index, newest first), accession, filing_date, report_date,
+    located (whether an exhibit was found) and text. ``archives`` have ``filing_to`` (last day of their page) besides.
+    Filings are taken in the index's order, archive pages from the newest on. Of two for one quarter the one that states it wins, then the one with more figures, then the
+    newer, and the other is noted. Once the window is full, an older stated quarter takes the place of the first one that isn't stated; the first that can't ends the walk.
+    Only archives of issuers whose recent block has not ended the walk are read.
+
+    Columns: issuer, requested, fetched, releases (newest filing first), missing.
     """
-    rows = claimed_quarter(releases).select("issuer", "accession", "filing_date", "key", "stated", "n_figures")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, tuple] = {}
-        beaten: dict[str, list[str]] = {}
-        for r in pdf.sort_values(["filing_date", "accession"], ascending=False).itertuples(index=False):
-            now = held.get(r.key)
-            if now is not None:
-                wins = (r.stated, r.n_figures) > (now.stated, now.n_figures)
-                beaten.setdefault(r.key, []).append(now.accession if wins else r.accession)
-                held[r.key] = r if wins else now
-            elif len(held) < quarters:
-                held[r.key] = r
-            else:
-                soft = next((k for k, x in held.items() if not x.stated), None)
-                if soft is None or not r.stated:
-                    break
-                del held[soft]
-                held[r.key] = r
-        return pd.DataFrame([(x.issuer, k, x.accession, x.filing_date, x.stated, x.n_figures, ",".join(beaten.get(k, []))) for k, x in held.items()], columns=["issuer", "key", "accession", "filing_date", "stated", "n_figures", "also"])
-
-    return rows.groupBy("issuer").applyInPandas(walk, "issuer string, key string, accession string, filing_date string, stated boolean, n_figures long, also string")
+    state = _listed(recent, ["pos"]).select("issuer", _walked(_start(), F.col("filings"), quarters).alias("state"))
+    if archives is not None:
+        ended = state.filter("state.done").select("issuer")
+        page = -F.unix_date(F.coalesce(F.try_to_date("filing_to"), F.lit("0001-01-01").cast("date")))
+        older = _listed(archives.join(ended, "issuer", "left_anti").withColumn("page", page), ["page", "pos"])
+        walked = _walked(F.coalesce("state", _start()), F.col("filings"), quarters)
+        state = state.join(older, "issuer", "full").select("issuer", F.when(F.col("filings").isNull(), F.col("state")).otherwise(walked).alias("state"))
+    dated = lambda h: F.struct(F.coalesce(h["filing_date"], F.lit("")), F.coalesce(h["accession"], F.lit("")))
+    newest = lambda a, b: F.when(dated(a) > dated(b), -1).when(dated(a) < dated(b), 1).otherwise(0)
+    releases, n = F.array_sort("state.held", newest), F.size("state.held")
+    short_by = F.when(n < quarters, F.array(F.concat(F.lit("index satisfied only "), n.cast("string"), F.lit(f" of {quarters} requested quarters")))).otherwise(F.array().cast("array<string>"))
+    return state.select("issuer", F.lit(quarters).alias("requested"), n.alias("fetched"), releases.alias("releases"), F.concat("state.missing", short_by).alias("missing"))
+
+
+def select_quarters(releases: DataFrame, quarters: int = 4) -> DataFrame:
+    """One row for each release that ``walk_quarters`` keeps, of filings in order of date."""
+    order = Window.partitionBy("issuer").orderBy(F.desc("filing_date"), F.desc("accession"))
+    rows = releases.withColumn("pos", F.row_number().over(order)).withColumn("located", F.lit(True))
+    return walk_quarters(rows, None, quarters).select("issuer", F.explode("releases").alias("r")).select("issuer", "r.*")
 
 
 def exhibit_links(index_pages: DataFrame) -> DataFrame:

@@ -37,6 +37,17 @@ def test_parse(spark):
         assert got == (None if want is None else (Decimal(want[0]), want[1], Decimal(want[2]))), r.t
 
 
+def test_figures_too_large_are_none(spark):
+    texts = ["$99999999999 trillion", "$9999999999.99 trillion", "$123456789012345678", f"{'9' * 60}%", "$1." + "1" * 40, "$9,999,999,999 trillion"]
+    got = [r.q for r in spark.createDataFrame([(t,) for t in texts], "t string").select(Q.parse_quantity(F.col("t")).alias("q")).collect()]
+    assert [g is None for g in got] == [True, False, True, True, False, False]
+    assert got[1].value == Decimal("9999999999990000000000") and got[5].value == Decimal(9_999_999_999) * 10**12
+    r = spark.createDataFrame([("$9999999999 to $9999999999 trillion",), ("$99999999999 to $99999999999 trillion",)], "t string").select(Q.parse_range(F.col("t")).alias("r")).select(F.when(F.col("r").isNotNull(), Q.midpoint(F.col("r"))["value"])).collect()
+    assert r[0][0] == Decimal(9_999_999_999) * 10**12 and r[1][0] is None
+    big = spark.createDataFrame([(Decimal("9999999999999999999999"), Decimal("0.000001")), (Decimal("9999999999999999999999"), Decimal(10) ** 21)], "v decimal(28,6), q decimal(28,6)")
+    assert [x[0] for x in big.select(Q.round_to(F.col("v"), F.col("q"))).collect()] == [Decimal("9999999999999999999999"), None]
+
+
 def test_ranges(spark):
     rows = spark.createDataFrame([("$1.31–1.34B",), ("22% to 23%",), ("$5",), ("$5 to 3%",)], "t string").select(Q.parse_range(F.col("t")).alias("r")).collect()
     assert (rows[0].r.low.value, rows[0].r.high.value) == (1_310_000_000, 1_340_000_000)

@@ -4,11 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from tallyspark.plans import queries as star
-from tallyspark.plans import wider
+from tallyspark.plans import more, wider
 
 SF = E.SMOKE
 duckdb = pytest.importorskip("duckdb")
-NAMES = ["best_release", "table_render", "extracted_claims", "publishable", "facts_lookback", "companyfacts_ingest", "intra_doc", "cross_doc", "audit_chain", "audit_tamper", *wider.QUERIES]
+NAMES = ["best_release", "table_render", "extracted_claims", "publishable", "facts_lookback", "companyfacts_ingest", "intra_doc", "cross_doc", "audit_chain", "audit_tamper", *wider.QUERIES, *more.QUERIES]
 
 
 @pytest.fixture(scope="module")
