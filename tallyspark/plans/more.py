@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import facts as FA, labels
 from ..operators.verify import verify_claims
-from ..sources import releases, search
+from ..sources import releases, search, vocabulary as V
 from . import star
 from .base import BASE
 
@@ -100,3 +101,87 @@ def slot_search(spark, sf):
     r = o.select(F.concat(F.lit("C"), (F.col("o_custkey") % 50).cast("string")).alias("issuer"), key.alias("pos"), title.alias("title"), F.concat(F.lit("https://"), host, F.lit("/"), key.cast("string")).alias("url"), text.alias("text"), F.col("o_orderdate").cast("timestamp").alias("published"))
     slots = search.slot_windows(spark.range(50).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("issuer"), F.lit(2000).alias("year"), F.lit(4).alias("quarter")), 6)
     return search.choose_slots(slots, search.slot_results(slots, r)).select("issuer", "slot", F.when(F.col("period").isNotNull(), F.concat_ws(" ", "period", "url")).alias("got"), "reason")
+
+
+_REL = "'release-' || entity || '-' || period AS document_id"
+
+
+@query(f"""{_W}, t AS (SELECT {_REL}, k, unnest(CASE k % 5 WHEN 0 THEN [['$' || k || ' million', 'total_revenue'], ['$2 million', 'operating_cash_flow']]
+  WHEN 1 THEN [['$' || k || ' million', 'operating_cash_flow'], ['$8 million', 'net_income']]
+  WHEN 2 THEN [['$' || k, 'cash_and_equivalents'], ['7.5%', 'operating_margin']]
+  WHEN 3 THEN [['$' || k, NULL], ['4%', NULL]]
+  ELSE [['$' || k || ' billion', 'capex'], ['$9 billion', 'cost_of_revenue']] END) AS p FROM b)
+SELECT document_id, p[1] AS figure, p[2] AS metric FROM t""")
+def label_join(spark, sf):
+    """Labels before and behind, one that belongs to the figure before it, one beyond a clause, lines with colons, and figures with none in reach."""
+    q = star.quarters(spark, sf)
+    m, k = F.col("k") % 5, F.col("k").cast("string")
+    text = (
+        F.when(m == 0, F.concat(F.lit("Total revenue was $"), k, F.lit(" million, and operating cash flow came to $2 million.")))
+        .when(m == 1, F.concat(F.lit("There was $"), k, F.lit(" million of operating cash flow and then net income of $8 million")))
+        .when(m == 2, F.concat(F.lit("Total revenue\nCash and cash equivalents: $"), k, F.lit("\nIn the year 7.5% of operating margin")))
+        .when(m == 3, F.concat(F.lit("Something at $"), k, F.lit("; total revenue was good. "), F.lit("Nothing else is said here for a long while, so that what was said is out of reach: 4% of it")))
+        .otherwise(F.concat(F.lit("Capital expenditures of $"), k, F.lit(" billion, while cost of revenue was $9 billion")))
+    )
+    docs = q.select(F.lit(star.TENANT).alias("tenant_id"), F.concat_ws("-", F.lit("release"), "entity", "period").alias("document_id"), text.alias("text"))
+    return labels.nearest_labels(docs, labels.phrases_of(star.metrics(spark), V.aliases_table(spark))).select("document_id", "figure", "metric")
+
+
+@query("""WITH s AS (SELECT DISTINCT n_name AS entity, lower(c_mktsegment) AS keyword FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+d AS (SELECT o_orderkey AS id, n_name AS tenant, lower('About ' || c_mktsegment || ' and ' || CASE o_orderkey % 4 WHEN 0 THEN 'automobiles, ' WHEN 1 THEN 'a machine ' WHEN 2 THEN 'refurniture' ELSE 'the house' END || o_orderkey) AS low
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT id, tenant, string_agg(keyword, ' ' ORDER BY keyword) AS named FROM d JOIN s ON s.entity = d.tenant AND contains(low, keyword) GROUP BY ALL""")
+def segments_named(spark, sf):
+    """Every nation a tenant, its market segments the keywords: those that lie in the text of each order, also inside of longer words."""
+    q = star.quarters(spark, sf, segments=True)
+    f = q.select(F.col("entity").alias("tenant_id"), F.concat_ws(":", "entity", "c_mktsegment").alias("entity"), F.col("k").alias("ingest_seq"))
+    known = FA.segment_keywords(f)
+    o = _read(spark, sf, "orders").join(_read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("o_orderkey")
+    tail = F.element_at(F.array(*map(F.lit, ("automobiles, ", "a machine ", "refurniture", "the house"))), (key % 4 + 1).cast("int"))
+    text = F.concat(F.lit("About "), F.col("c_mktsegment"), F.lit(" and "), tail, key.cast("string"))
+    texts = o.select(F.col("n_name").alias("tenant_id"), key.cast("string").alias("document_id"), F.lower(text).alias("low"))
+    named = labels.named_keywords(texts, known)
+    return named.groupBy(F.col("document_id").cast("long").alias("id"), F.col("tenant_id").alias("tenant")).agg(F.array_join(F.array_sort(F.collect_list("keyword")), " ").alias("named"))  # a tenant has few
+
+
+def _overlays(spark, sf) -> DataFrame:
+    """Phrases of a tenant for each customer: of three known metrics and one that there isn't; some with spaces and capitals, some that are there already, some empty."""
+    c = _read(spark, sf, "customer").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("tenant_id"), (F.col("c_custkey") % 6).alias("m"), F.col("c_custkey").cast("string").alias("key"))
+    metric = F.element_at(F.array(*map(F.lit, ("net_income", "gross_profit", "total_revenue", "no_such_metric"))), (F.col("m") % 4 + 1).cast("int"))
+    phrases = F.array(F.concat(F.lit("  Own"), F.col("key"), F.lit(" Words ")), F.lit("Ink Turnover"), F.lit("own"), F.when(F.col("m") % 2 == 0, " ").otherwise("Total Revenue"))
+    return c.select("tenant_id", metric.alias("metric"), F.posexplode(phrases).alias("pos", "phrase"))
+
+
+def _default(spark) -> DataFrame:
+    rows = [(m, i, p) for m, ps in V.default_aliases().items() for i, p in enumerate(ps)]
+    return spark.createDataFrame(rows, "metric string, pos int, phrase string")
+
+
+def _lists_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(m)}, [{', '.join(map(quoted, ps))}])" for m, ps in V.default_aliases().items())
+
+
+@query(f"""WITH d(metric, p) AS (VALUES {_lists_sql()}), c AS (SELECT 'T' || c_custkey AS tenant_id, c_custkey, c_custkey % 6 AS m FROM customer),
+o AS (SELECT tenant_id, ['net_income', 'gross_profit', 'total_revenue', 'no_such_metric'][m % 4 + 1] AS metric, ['own' || c_custkey || ' words', 'ink turnover', 'own'] || CASE WHEN m % 2 = 0 THEN [] ELSE ['total revenue'] END AS p FROM c)
+SELECT tenant_id, o.metric, array_to_string(coalesce(d.p, []) || list_filter(o.p, lambda x: NOT list_contains(coalesce(d.p, []), x)), '|') AS phrases FROM o LEFT JOIN d ON d.metric = o.metric WHERE o.metric <> 'no_such_metric'
+UNION ALL SELECT NULL, metric, array_to_string(p, '|') FROM d UNION ALL SELECT tenant_id, metric, NULL FROM o WHERE metric = 'no_such_metric'""")
+def overlay_lists(spark, sf):
+    """Phrase lists of a tenant for each customer beside the default ones, and the ids that no metric has."""
+    over, known = _overlays(spark, sf), V.metrics_table(spark)
+    lists = V.overlaid_phrases(_default(spark), over, known).select("tenant_id", "metric", F.array_join("phrases", "|").alias("phrases"))
+    return lists.unionByName(V.unknown_metrics(over, known).withColumn("phrases", F.lit(None).cast("string")))
+
+
+@query("""WITH c AS (SELECT 'T' || c_custkey AS tenant_id, c_custkey % 6 AS m FROM customer), s AS (SELECT *, unnest(['$5', '$6', '$7']) AS figure FROM c)
+SELECT tenant_id, figure, CASE figure WHEN '$5' THEN CASE m % 4 WHEN 0 THEN 'net_income' WHEN 1 THEN 'gross_profit' WHEN 2 THEN 'total_revenue' END WHEN '$6' THEN 'total_revenue' END AS metric FROM s""")
+def tenant_labels(spark, sf):
+    """A tenant for each customer: its own phrases name figures of its own documents alone, all in one plan."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("Ink turnover$5. Then, in total revenue, $6. What follows is told at some length, so that no label of what came before is still in reach. And for Own0"), key, F.lit(" words $7."))
+    docs = _read(spark, sf, "customer").select(F.concat(F.lit("T"), key).alias("tenant_id"), key.alias("document_id"), text.alias("text"))
+    m = V.metrics_table(spark)
+    own = _overlays(spark, sf).filter("pos < 2").withColumn("phrase", F.lower(F.trim("phrase"))).join(m.select(F.col("id").alias("metric"), "unit", F.col("position").cast("int").alias("place")), "metric")
+    found = labels.nearest_labels(docs, labels.phrases_of(m, V.aliases_table(spark)), own.select("tenant_id", "phrase", "metric", "unit", "place"))
+    return found.select("tenant_id", "figure", "metric")

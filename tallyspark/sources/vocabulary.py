@@ -182,3 +182,36 @@ def vocabulary(metrics: DataFrame, aliases: DataFrame) -> DataFrame:
     every = aliases.select("metric", "phrase").union(metrics.select("id", F.lower("label"))).distinct()
     listed = every.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("n"), "phrase"))).alias("p"))
     return listed.select("metric", F.transform("p", lambda x: x["phrase"]).alias("phrases"))
+
+
+def unknown_metrics(overlays: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Tenants' metric ids that no metric has."""
+    return overlays.select("tenant_id", "metric").distinct().join(metrics.select(F.col("id").alias("metric")), "metric", "left_anti").select("tenant_id", "metric")
+
+
+def overlaid_phrases(aliases: DataFrame, overlays: DataFrame, metrics: DataFrame, instead: bool = False) -> DataFrame:
+    """Phrase lists as tenants have them: ``tenant_id``, ``metric``, ``phrases``; with a null tenant the lists that hold for all others.
+
+    ``aliases`` have metric, pos and phrase, ``overlays`` tenant_id besides; ``pos`` orders a list. A tenant's phrases are lower-cased and trimmed, empty ones dropped, and joined to the
+    default ones (or put for them) in order and once. Metrics that a tenant doesn't name stay as they are and aren't repeated for it; metrics that there aren't are left out
+    (``unknown_metrics`` has them), and lists that come out empty too.
+    """
+    listed = lambda df, *by: df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "phrase"))), lambda p: p["phrase"]).alias("phrases"))
+    default = listed(aliases, "metric").withColumnRenamed("phrases", "default")
+    clean = overlays.withColumn("phrase", F.lower(F.regexp_replace(F.coalesce("phrase", F.lit("")), r"(?U)^\s+|\s+$", "")))
+    own = listed(clean.join(metrics.select(F.col("id").alias("metric")), "metric", "left_semi"), "tenant_id", "metric")
+    both = default.join(own, "metric", "full")
+    none = F.array().cast("array<string>")
+    kept = F.coalesce("default", none) if not instead else none
+    merged = F.filter(F.array_distinct(F.concat(kept, F.coalesce("phrases", none))), lambda p: p != "")
+    mine = both.filter("tenant_id IS NOT NULL").select("tenant_id", "metric", merged.alias("phrases"))
+    shared = default.select(F.lit(None).cast("string").alias("tenant_id"), "metric", F.col("default").alias("phrases"))
+    return mine.unionByName(shared).filter(F.size("phrases") > 0)
+
+
+def phrases_for(lists: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The list of each wanted (tenant_id, metric): the tenant's own, else the one that holds for all, else an empty one."""
+    own = lists.filter("tenant_id IS NOT NULL")
+    shared = lists.filter("tenant_id IS NULL").select("metric", F.col("phrases").alias("default"))
+    out = wanted.join(own, ["tenant_id", "metric"], "left").join(shared, "metric", "left")
+    return out.select("tenant_id", "metric", F.coalesce("phrases", "default", F.array().cast("array<string>")).alias("phrases"))
