@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rules
-from .facts import latest_facts
+from .facts import SCOPE, fact_scopes
 from .staging import settled
-from .verify import VERDICTS, parsed, verify_claims
+from .verify import VERDICTS, parsed, verify_parsed
 
 DOC = ["tenant_id", "document_id"]
 
@@ -24,16 +24,21 @@ def publishable(documents: DataFrame, verdicts: DataFrame, findings: DataFrame)
 
 
 def verify_documents(documents: DataFrame, claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verdicts and findings of all documents. What nine rules read is worked out once."""
-    claims, documents, facts = settled(claims), settled(documents), settled(facts)
-    read, latest = settled(parsed(claims, metrics)), settled(latest_facts(facts))
-    return verify_claims(claims, facts, metrics), rules.document_findings(documents, read, latest, metrics)
+    """Verdicts and findings of all documents. What they all read is written once: parsed claims, scopes of facts, documents."""
+    verdicts, findings, _ = _verified(documents, claims, facts, metrics)
+    return verdicts, findings
+
+
+def _verified(documents: DataFrame, claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    read, scopes, documents = settled(parsed(claims, metrics), "claims"), settled(fact_scopes(facts), "scopes"), settled(documents, "documents")
+    latest = rules.Latest(scopes.select(*SCOPE, "latest.*"))
+    return verify_parsed(read, scopes, claims.columns), rules.document_findings(documents, read, latest, metrics), read
 
 
 def verify_close_pack(documents: DataFrame, claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Verdicts, findings, findings across documents, and for each tenant whether its pack may be published."""
-    verdicts, findings = verify_documents(documents, claims, facts, metrics)
-    across = rules.consistency_across(parsed(claims, metrics))
+    verdicts, findings, read = _verified(documents, claims, facts, metrics)
+    across = rules.consistency_across(read)
     docs = publishable(documents, verdicts, findings).groupBy("tenant_id").agg(F.bool_and("publishable").alias("ok"))
     pack = docs.join(across.select("tenant_id").distinct().withColumn("bad", F.lit(True)), "tenant_id", "left").select("tenant_id", (F.col("ok") & F.col("bad").isNull()).alias("publishable"))
     return verdicts, findings, across, pack

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,17 @@ HARBOR = r"(?iU)\b(safe[- ]harbor|forward[- ]looking statements?|Private Securit
 MIDPOINT = r"(?iU)midpoint[^$%\d]{0,20}?(\$?\s?\d[\d,]*(?:\.\d+)?\s*(?:billion|million|thousand|trillion|bn|mm|[bmkt])?|\d{1,3}(?:\.\d+)?\s?%)"
 
 
+@dataclass(frozen=True)
+class Latest:
+    """Facts of which there is one version a scope: rules take them as they are."""
+
+    rows: DataFrame
+
+
+def _latest(facts: DataFrame | Latest) -> DataFrame:
+    return facts.rows if isinstance(facts, Latest) else latest_facts(facts)
+
+
 def _found(df: DataFrame, rule: str, detail: Column | str, severity: str = "block") -> DataFrame:
     have = set(df.columns)
     cols = {"rule": F.lit(rule), "severity": F.lit(severity), "detail": F.lit(detail) if isinstance(detail, str) else detail.cast("string")}
@@ -46,9 +58,9 @@ def midpoints(documents: DataFrame, claims: DataFrame) -> DataFrame:
     return _found(bad, "ranges.midpoint_mismatch", Q.display(mid["value"], mid["unit"]))
 
 
-def derived(claims: DataFrame, facts: DataFrame) -> DataFrame:
+def derived(claims: DataFrame, facts: DataFrame | Latest) -> DataFrame:
     """Growth, basis points, trailing sums, sums and ratios recomputed from the latest facts, filed or not."""
-    got = V.resolved(V.operands(claims), latest_facts(facts))
+    got = V.resolved(V.operands(claims), _latest(facts))
     rows = claims.join(got, ["claim_id", "tenant_id", "document_id"]).withColumn("d", V.derived_value(F.col("spec.kind")))
     kind, q, d = F.col("spec.kind"), F.col("q"), F.col("d")
     assumed = kind.isin("sum", "ratio", "ratio_pct")  # the claimed unit is taken as meant
@@ -57,7 +69,7 @@ def derived(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return of((*V.GROWTH, "ttm_sum"), "derived.recomputation_mismatch").unionByName(of(("sum",), "derived.sum_mismatch")).unionByName(of(("ratio", "ratio_pct"), "derived.ratio_mismatch"))
 
 
-def non_gaap(claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> DataFrame:
+def non_gaap(claims: DataFrame, facts: DataFrame | Latest, metrics: DataFrame) -> DataFrame:
     """Prominence of the GAAP counterpart, and the bridge from it by the declared adjustments."""
     doc = ["tenant_id", "document_id"]
     ours = claims.filter("spec.is_non_gaap").withColumn("counterpart", F.col("spec.gaap_counterpart"))
@@ -67,7 +79,7 @@ def non_gaap(claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> DataFra
     at = lambda role, i, m: F.struct(F.lit(role).alias("role"), F.lit(i).alias("ord"), m.alias("metric"))
     legs = F.concat(F.array(at("n", 0, F.col("metric")), at("g", 1, F.col("counterpart"))), F.transform("spec.adjustments", lambda m: F.struct(F.lit("x").alias("role"), F.lit(2).alias("ord"), m.alias("metric"))))
     need = paired.select("claim_id", *doc, "entity", "period", F.size("spec.adjustments").alias("n"), F.col("metric").alias("of"), F.explode(legs).alias("o")).select("claim_id", *doc, "entity", "period", "n", "of", "o.role", "o.metric")
-    got = need.join(latest_facts(facts).select(*SCOPE, "value", "quantum"), SCOPE, "left")
+    got = need.join(_latest(facts).select(*SCOPE, "value", "quantum"), SCOPE, "left")
     pick = lambda r, c="value": F.max(F.when(F.col("role") == r, F.col(c)))
     sums = got.groupBy("claim_id", *doc, "of", "n").agg(pick("n").alias("own"), pick("n", "quantum").alias("quantum"), pick("g").alias("gaap"), F.sum(F.when(F.col("role") == "x", F.col("value"))).alias("adds"), F.count_if((F.col("role") == "x") & F.col("value").isNotNull()).alias("k")).withColumnRenamed("of", "metric")
     no_leg = sums.filter("own IS NULL OR gaap IS NULL")
@@ -85,18 +97,18 @@ def ordering(claims: DataFrame) -> DataFrame:
     return _found(first.filter("non_gaap").join(other, [*doc, "counterpart"]).filter("at < gaap_at"), "reg_g.equal_prominence_ordering", "non-GAAP figure comes first", "warn")
 
 
-def forward_looking(documents: DataFrame, claims: DataFrame, facts: DataFrame) -> DataFrame:
+def forward_looking(documents: DataFrame, claims: DataFrame, facts: DataFrame | Latest) -> DataFrame:
     doc = ["tenant_id", "document_id"]
-    soft = latest_facts(facts).filter("source_type = 'management_input'").select(*SCOPE)
+    soft = _latest(facts).filter("source_type = 'management_input'").select(*SCOPE)
     ahead = claims.join(soft, SCOPE, "left_semi").groupBy(*doc).agg(F.array_join(F.array_sort(F.collect_set("metric")), ", ").alias("soft"))
     text = F.coalesce("text", F.lit(""))
     rows = documents.join(ahead, doc, "left").filter((text.rlike(TRIGGER) | F.col("soft").isNotNull()) & ~text.rlike(HARBOR))
     return _found(rows, "forward_looking.safe_harbor_required", F.coalesce("soft", F.lit("")))
 
 
-def directional(documents: DataFrame, claims: DataFrame, facts: DataFrame) -> DataFrame:
+def directional(documents: DataFrame, claims: DataFrame, facts: DataFrame | Latest) -> DataFrame:
     """The word of direction near a metric's label against the sign of its change over a year; once a metric."""
-    latest = latest_facts(facts).select(*SCOPE, "value")
+    latest = _latest(facts).select(*SCOPE, "value")
     prior = latest.select("tenant_id", "entity", "metric", F.col("period").alias("prior"), F.col("value").alias("before"))
     rows = claims.filter("spec IS NOT NULL").join(latest, SCOPE).withColumn("prior", P.prior_year(F.col("period"))).join(prior, ["tenant_id", "entity", "metric", "prior"])
     rows = rows.join(documents.select("tenant_id", "document_id", F.lower("text").alias("low")), ["tenant_id", "document_id"])
@@ -132,7 +144,7 @@ def consistency_across(claims: DataFrame) -> DataFrame:
     return _found(_disagree(claims, ["tenant_id", "entity", "metric", "period"]), "consistency.cross_document_mismatch", F.concat_ws(" ", "entity", "period"))
 
 
-def document_findings(documents: DataFrame, claims: DataFrame, facts: DataFrame, metrics: DataFrame) -> DataFrame:
+def document_findings(documents: DataFrame, claims: DataFrame, facts: DataFrame | Latest, metrics: DataFrame) -> DataFrame:
     """All findings of single documents. ``claims`` are parsed."""
     parts = [non_gaap(claims, facts, metrics), ordering(claims), forward_looking(documents, claims, facts), derived(claims, facts), directional(documents, claims, facts), units(claims), consistency_within(claims), inverted_ranges(claims), midpoints(documents, claims)]
     return reduce(DataFrame.unionByName, parts)

@@ -72,13 +72,44 @@ def identity(spec: Column) -> Column:
     return F.when(spec["kind"] == "sum", F.array_join(spec["components"], " + ")).when(spec["kind"].isin("ratio", "ratio_pct"), F.concat(spec["numerator"], F.lit(" / "), spec["denominator"])).otherwise(F.concat(spec["kind"], F.lit("("), spec["base"], F.lit(")")))
 
 
+def scopes_needed(claims: DataFrame) -> DataFrame:
+    """Every scope that parsed claims read: their own (role ``own``) and those of their operands, with each claim's columns as one struct ``c``."""
+    s, p = F.col("spec"), F.col("period")
+    op = lambda role, i, metric, period: F.struct(F.lit(role).alias("role"), F.lit(i).alias("ord"), metric.alias("metric"), period.alias("period"))
+    prior = F.when(s["kind"] == "qoq_growth", P.prior_quarter(p)).otherwise(P.prior_year(p))
+    pair = F.array(op("a", 0, s["base"], p), op("b", 1, s["base"], prior))
+    ratio = F.array(op("a", 0, s["numerator"], p), op("b", 1, s["denominator"], p))
+    total = F.transform(s["components"], lambda m, i: F.struct(F.lit("s").alias("role"), i.alias("ord"), m.alias("metric"), p.alias("period")))
+    more = F.when(s["kind"].isin(*GROWTH), pair).when(s["kind"].isin("ratio", "ratio_pct"), ratio).when((s["kind"] == "sum") & (F.size(s["components"]) > 0), total)
+    need = F.concat(F.array(op("own", -1, F.col("metric"), p)), F.coalesce(more, F.array().cast("array<struct<role:string,ord:int,metric:string,period:string>>")))
+    each = claims.select(F.struct(*claims.columns).alias("c"), F.size(need).alias("n"), F.explode(need).alias("o"))
+    return each.select("c", "n", F.col("c.tenant_id").alias("tenant_id"), F.col("c.entity").alias("entity"), "o.*")
+
+
+def with_sources(need: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Claims with their own scope's ``latest`` and ``older`` and, where all operands have a value, with those: one join for all that is needed."""
+    met = need.join(scopes, SCOPE, "left")
+    own, v = F.col("role") == "own", F.col("latest")
+    by_role = lambda r: F.max(F.when(F.col("role") == r, v["value"]))
+    part = ~own & v.isNotNull()
+    url = F.min_by(F.when(~own, v["source_url"]), F.when(part & v["source_url"].isNotNull(), F.col("ord")))
+    out = met.groupBy("c", "n").agg(
+        F.max(F.when(own, v)).alias("latest"), F.max(F.when(own, F.col("older"))).alias("older"), F.count_if(part).alias("k"), by_role("a").alias("a"), by_role("b").alias("b"),
+        F.sum(F.when(F.col("role") == "s", v["value"])).try_cast(Q.DEC).alias("s"), F.bool_and(F.when(part, is_filed(v["source_type"], v["source_ref"]))).alias("filed"), F.max(F.when(part, v["as_of"])).alias("d_as_of"), url.alias("d_url"),
+    )
+    whole = (F.col("n") > 1) & (F.col("k") == F.col("n") - 1)
+    return out.select("c.*", "latest", "older", *(F.when(whole, F.col(x)).alias(x) for x in ("a", "b", "s", "filed", "d_as_of", "d_url")))
+
+
 def verify_claims(claims: DataFrame, facts: DataFrame, metrics: DataFrame, tolerance: str = "0") -> DataFrame:
-    """Verdict, reason, source value and provenance of each claim; first rung that holds wins."""
-    rows = parsed(claims, metrics)
-    scopes = fact_scopes(facts)  # both uses are one exchange
-    derived = resolved(operands(rows.filter(F.col("spec.kind").isin(*IDENTITY, *GROWTH))), scopes.select(*SCOPE, "latest.*"))
-    kept = [F.col(c) for c in claims.columns]
-    rows = rows.join(scopes, SCOPE, "left").join(derived, ["claim_id", "tenant_id", "document_id"], "left")
+    """Verdict, reason, source value and provenance of each claim; first rung that holds wins. Claims have ids of their own; equal rows give one verdict."""
+    return verify_parsed(parsed(claims, metrics), fact_scopes(facts), claims.columns, tolerance)
+
+
+def verify_parsed(claims: DataFrame, scopes: DataFrame, columns: list[str], tolerance: str = "0") -> DataFrame:
+    """``verify_claims`` of parsed claims against scopes (``fact_scopes``, or those of a store); ``columns`` are kept."""
+    kept = [F.col(c) for c in columns]
+    rows = with_sources(scopes_needed(claims), scopes)
     rows = rows.withColumn("d", F.when(F.col("latest").isNull() & F.col("filed"), derived_value(F.col("spec.kind"))))
     q, last, d = F.col("q"), F.col("latest"), F.col("d")
     slack = F.lit(tolerance).cast("decimal(10,8)")
