@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts as FA, labels
+from ..operators.staging import settled
+from ..operators.store import FactStore, Verdicts
 from ..operators.verify import verify_claims
 from ..sources import releases, search, vocabulary as V
 from . import star
-from .base import BASE
+from .base import BASE, million
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -185,3 +187,45 @@ def tenant_labels(spark, sf):
     own = _overlays(spark, sf).filter("pos < 2").withColumn("phrase", F.lower(F.trim("phrase"))).join(m.select(F.col("id").alias("metric"), "unit", F.col("position").cast("int").alias("place")), "metric")
     found = labels.nearest_labels(docs, labels.phrases_of(m, V.aliases_table(spark)), own.select("tenant_id", "phrase", "metric", "unit", "place"))
     return found.select("tenant_id", "figure", "metric")
+
+
+@query(f"""{_W}, c AS (SELECT *, k % 3 AS m FROM b), v AS (SELECT entity, period, CASE m WHEN 0 THEN 'traced' WHEN 1 THEN CASE WHEN ({million('v1')}) = ({million('v2')}) THEN 'traced' ELSE 'conflict' END ELSE 'conflict' END AS verdict, v1, v2, m, k FROM c)
+SELECT entity, period, verdict, CASE WHEN verdict = 'traced' THEN 'matches the filed source' WHEN m = 1 THEN 'superseded: the source was restated' WHEN ({million('v2 + 100000000')}) = ({million('v1')}) THEN 'superseded: the source was restated' ELSE 'differs from the filed source' END AS reason FROM v""")
+def store_verdicts(spark, sf):
+    """Verdicts against a kept store that was filled by three batches, of which one comes twice and one is late."""
+    q = star.quarters(spark, sf)
+    facts = settled(star.facts_of(q), "facts")
+    store = FactStore(spark)
+    for batch in ("metric = 'total_revenue' AND ingest_seq = 0", "metric <> 'total_revenue'", "metric <> 'total_revenue'", "metric = 'total_revenue' AND ingest_seq = 1"):
+        store.add(facts.filter(batch))
+    m = F.col("k") % 3
+    claims = star._claim(q, "release", 1, "total_revenue", star.millions(F.when(m == 0, F.col("v2")).when(m == 1, F.col("v1")).otherwise(F.col("v2") + 100_000_000)))
+    out = settled(store.verify(claims, star.metrics(spark)).select("entity", "period", "verdict", "reason"), "verdicts")
+    store.drop()
+    return out
+
+
+@query(f"""{_W}, v AS (SELECT entity, period, ({million('v1')}) = ({million('v2')}) AS same, nk FROM b),
+g AS (SELECT b.entity, b.period, b.nk, (b.v1 - w.v1) AS d1, w.v1 AS w1, (b.v2 - w.v2) AS d2, w.v2 AS w2 FROM b JOIN b w ON w.entity = b.entity AND w.t = b.t - 4),
+a AS (SELECT entity, period, 'amount' AS kind, nk % 2 = 0 AS late, CASE WHEN nk % 2 = 1 OR same THEN 'traced' ELSE 'conflict' END AS verdict FROM v),
+r AS (SELECT entity, period, 'growth' AS kind, nk % 2 = 0 AS late, CASE WHEN nk % 2 = 1 THEN 'traced'
+  WHEN (CASE WHEN d1 < 0 THEN -1 ELSE 1 END) * ((abs(d1)::HUGEINT * 2000 + w1) // (2 * w1)) = (CASE WHEN d2 < 0 THEN -1 ELSE 1 END) * ((abs(d2)::HUGEINT * 2000 + w2) // (2 * w2)) THEN 'traced' ELSE 'conflict' END AS verdict FROM g)
+SELECT * FROM a UNION ALL SELECT * FROM r""")
+def late_verdicts(spark, sf):
+    """Amounts and growth verified against first versions; restatements of every other nation come late and turn what reads them: its own scope, or an operand's."""
+    q = star.quarters(spark, sf)
+    facts = settled(star.facts_of(q).filter("metric = 'total_revenue'"), "facts")
+    first = q.withColumn("v2", F.col("v1"))  # claims of what was filed first
+    pair = star.pairs(first, 4)
+    grown = star._claim(pair, "release", 2, "revenue_growth_yoy", F.concat(star.tenth(F.col("v2") - F.col("was"), F.col("was")), F.lit("%")))
+    claims = star._claim(q, "release", 1, "total_revenue", star.millions(F.col("v1"))).unionByName(grown)
+    store = FactStore(spark)
+    kept = Verdicts(store, star.metrics(spark))
+    kept.add_claims(claims)
+    kept.add_facts(facts.filter("ingest_seq = 0"))
+    even = _read(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("entity"))
+    again = kept.add_facts(facts.filter("ingest_seq = 1").join(even, "entity", "left_semi").select(*facts.columns)).select("claim_id", F.lit(True).alias("again"))
+    kind = F.when(F.col("metric") == "total_revenue", "amount").otherwise("growth")
+    out = settled(kept.verdicts.join(again, "claim_id", "left").select("entity", "period", kind.alias("kind"), F.coalesce("again", F.lit(False)).alias("late"), "verdict"), "late")
+    store.drop()
+    return out
