@@ -136,12 +136,31 @@ def _disagree(claims: DataFrame, group: list[str]) -> DataFrame:
     return sets.filter("apart").drop("apart")
 
 
-def consistency_within(claims: DataFrame) -> DataFrame:
-    return _found(_disagree(claims, ["tenant_id", "document_id", "entity", "metric", "period"]), "consistency.intra_document_mismatch", F.concat_ws(" ", "entity", "period"))
+USES = 20  # listed of a group; the rest are counted
 
 
-def consistency_across(claims: DataFrame) -> DataFrame:
-    return _found(_disagree(claims, ["tenant_id", "entity", "metric", "period"]), "consistency.cross_document_mismatch", F.concat_ws(" ", "entity", "period"))
+def _listed_uses(claims: DataFrame, groups: DataFrame, group: list[str], most: int) -> DataFrame:
+    """Groups with their first ``most`` uses as text, those that aren't figures too, in order of document and place.
+
+    The limit is taken in each task before a group's uses meet, so a figure used very often doesn't gather in one.
+    """
+    use = claims.join(groups, group, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("document_id", F.coalesce("span.start", F.lit(0)), "claim_id"))
+    first = use.withColumn("nth", nth).filter(F.col("nth") <= most).withColumn("shown", F.concat("document_id", F.lit(": '"), F.coalesce("displayed_text", F.lit("")), F.lit("'")))
+    listed = first.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shown"))), lambda x: x["shown"]).alias("uses"))
+    total = use.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    more = F.when(F.col("n") > F.size("uses"), F.concat(F.lit("; and "), (F.col("n") - F.size("uses")).cast("string"), F.lit(" more"))).otherwise("")
+    return listed.join(total, group).withColumn("detail", F.concat(F.concat_ws(" ", "entity", "period"), F.lit(": "), F.array_join("uses", "; "), more))
+
+
+def consistency_within(claims: DataFrame, most: int = USES) -> DataFrame:
+    group = ["tenant_id", "document_id", "entity", "metric", "period"]
+    return _found(_listed_uses(claims, _disagree(claims, group), group, most), "consistency.intra_document_mismatch", F.col("detail"))
+
+
+def consistency_across(claims: DataFrame, most: int = USES) -> DataFrame:
+    group = ["tenant_id", "entity", "metric", "period"]
+    return _found(_listed_uses(claims, _disagree(claims, group), group, most).withColumn("document_id", F.lit(None).cast("string")), "consistency.cross_document_mismatch", F.col("detail"))
 
 
 def document_findings(documents: DataFrame, claims: DataFrame, facts: DataFrame | Latest, metrics: DataFrame) -> DataFrame:

@@ -158,7 +158,10 @@ def intra_doc(spark, sf):
 
 
 def cross_doc(spark, sf):
-    return rules.consistency_across(parsed(star.repeated_claims(star.quarters(spark, sf)), star.metrics(spark))).select("detail", "metric")
+    """Uses that disagree across documents, all listed: those that are no figures too."""
+    q = star.quarters(spark, sf)
+    vague = star._claim(q.filter("k % 5 = 0"), "qa", 1, "total_revenue", F.lit("about a billion"))
+    return rules.consistency_across(parsed(star.repeated_claims(q).unionByName(vague), star.metrics(spark))).select("detail", "metric")
 
 
 def range_inverted(spark, sf):
@@ -302,6 +305,16 @@ def _aliases_sql() -> str:
     return f"SELECT metric, count(*)::BIGINT AS n, arg_min(phrase, (-length(phrase), phrase)) AS longest FROM (VALUES {values}) v(metric, phrase) GROUP BY metric"
 
 
+def _uses_sql() -> str:
+    n = lambda x: f"((({x}) + 50000000) // 100000000)"
+    shown = lambda x: f"('$' || ({n(x)} // 100) || '.' || lpad(({n(x)} % 100)::VARCHAR, 2, '0') || ' million')"
+    off = lambda m: f"v2 + CASE WHEN k % {m} = 0 THEN 100000000 ELSE 0 END"
+    said = lambda kind, x: f"'{kind}-' || d || ': ' || chr(39) || {x} || chr(39)"
+    about = "'about a billion'"
+    uses = f"[CASE WHEN k % 5 = 0 THEN {said('qa', about)} END, {said('release', shown('v2'))}, {said('release', shown(off(3)))}, {said('script', shown(off(4)))}]"
+    return f"WITH {BASE}, m AS (SELECT *, entity || '-' || period AS d FROM b) SELECT entity || ' ' || period || ': ' || array_to_string(list_filter({uses}, lambda x: x IS NOT NULL), '; ') AS detail, 'total_revenue' AS metric FROM m WHERE k % 3 = 0 OR k % 4 = 0"
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {BASE}"
     return {
@@ -328,7 +341,7 @@ def oracle_sql() -> dict[str, str]:
         "directional": f"{w}, {_PAIRS.format(back=4)} SELECT {_REL}, CASE WHEN k % 2 = 0 THEN 'up but down' ELSE 'down but up' END AS detail FROM p WHERE k % 7 <> 5 AND CASE WHEN k % 2 = 0 THEN v2 < was ELSE v2 > was END",
         "unit_mismatch": f"{w} SELECT {_REL}, CASE WHEN k % 3 = 0 THEN 'percent is not currency' ELSE 'basis_points is not currency' END AS detail FROM b WHERE k % 3 <> 2",
         "intra_doc": f"{w} SELECT {_REL}, 'total_revenue' AS metric FROM b WHERE k % 3 = 0",
-        "cross_doc": f"{w} SELECT entity || ' ' || period AS detail, 'total_revenue' AS metric FROM b WHERE k % 3 = 0 OR k % 4 = 0",
+        "cross_doc": _uses_sql(),
         "range_inverted": f"{w} SELECT {_SCR}, 'revenue_guidance' AS metric FROM b WHERE k % 4 = 0",
         "range_midpoint": f"{w} SELECT {_SCR}, 'revenue_guidance' AS metric FROM b WHERE k % 3 = 1",
         "verdict_counts": f"{w}, v AS (SELECT *, {_CASE} AS verdict FROM b) SELECT {_REL}, (verdict = 'traced')::BIGINT AS traced, (verdict = 'needs_review')::BIGINT AS needs_review, (verdict = 'conflict')::BIGINT AS conflict, (verdict = 'untraced')::BIGINT AS untraced FROM v",
