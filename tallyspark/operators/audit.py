@@ -14,29 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical, escaped
+
 GENESIS = "0" * 64
 TYPES = ("ingest", "bind", "verdict", "edit", "override", "sign_off")
 SEQ_PLACE = "\x00"  # stands for the number until it is known; JSON strings can't hold it
 EVENTS = "seq long, timestamp string, actor string, type string, tenant_id string, payload string, prev_hash string, hash string"
 
 
-def _json(x: Column) -> Column:
-    """A JSON string literal with characters outside ASCII escaped."""
-    raw = F.to_json(F.struct(x.alias("x")))
-    body = F.substr(raw, F.lit(6), F.length(raw) - 6)
-    odd = F.transform(F.split(body, ""), lambda c: F.when(F.octet_length(c) > 1, _units(c)).otherwise(c))
-    return F.when(F.octet_length(body) == F.length(body), body).otherwise(F.array_join(odd, ""))
-
-
-def _units(c: Column) -> Column:
-    u = F.lower(F.hex(F.encode(c, "UTF-16BE")))
-    return F.concat(F.lit("\\u"), F.substring(u, 1, 4), F.when(F.length(u) > 4, F.concat(F.lit("\\u"), F.substring(u, 5, 4))).otherwise(""))
-
-
 def body(e: dict[str, Column]) -> tuple[Column, Column]:
     """Canonical JSON of an event before and after the value of ``prev_hash``; the payload is canonical JSON already."""
-    head = F.concat(F.lit('{"actor":'), _json(e["actor"]), F.lit(',"payload":'), e["payload"], F.lit(',"prev_hash":"'))
-    tail = F.concat(F.lit('","seq":'), e["seq"].cast("string"), F.lit(',"tenant_id":'), _json(e["tenant_id"]), F.lit(',"timestamp":'), _json(e["timestamp"]), F.lit(',"type":'), _json(e["type"]), F.lit("}"))
+    head = F.concat(F.lit('{"actor":'), escaped(e["actor"]), F.lit(',"payload":'), e["payload"], F.lit(',"prev_hash":"'))
+    tail = F.concat(F.lit('","seq":'), e["seq"].cast("string"), F.lit(',"tenant_id":'), escaped(e["tenant_id"]), F.lit(',"timestamp":'), escaped(e["timestamp"]), F.lit(',"type":'), escaped(e["type"]), F.lit("}"))
     return head, tail
 
 
@@ -86,7 +75,7 @@ def export(chain: DataFrame, tenant: str | None = None) -> DataFrame:
 def verdict_events(verdicts: DataFrame, timestamp: str, actor: str = "engine") -> DataFrame:
     """A batch of verdict events, one for each claim, in claim order."""
     fields = {"claim_id": F.col("claim_id"), "displayed_text": F.col("displayed_text"), "document_id": F.col("document_id"), "metric": F.col("metric"), "period": F.col("period"), "source_ref": F.coalesce(F.col("provenance.ref"), F.lit("none")), "verdict": F.col("verdict")}
-    payload = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), _json(v)) for k, v in sorted(fields.items()))), F.lit("}"))
+    payload = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), escaped(v)) for k, v in sorted(fields.items()))), F.lit("}"))
     return verdicts.select(F.struct("document_id", "claim_id").alias("ord"), F.lit(timestamp).alias("timestamp"), F.lit(actor).alias("actor"), F.lit("verdict").alias("type"), "tenant_id", payload.alias("payload"))
 
 

@@ -81,6 +81,12 @@ def fact_by_id(facts: DataFrame, fact_id: str) -> DataFrame:
     return facts.filter(F.col("id") == fact_id)
 
 
+def facts_by_ids(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each of the ``ids`` with its fact as one struct, null where there is none."""
+    known = facts.select("id", F.struct(*facts.columns).alias("fact"))
+    return ids.select("id").distinct().join(known, "id", "left")
+
+
 def reported_metrics(facts: DataFrame) -> DataFrame:
     """Metrics that each entity has facts for."""
     return facts.groupBy("tenant_id", "entity").agg(F.array_sort(F.collect_set("metric")).alias("metrics"))

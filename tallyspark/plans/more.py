@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facts as FA, labels
-from ..operators.staging import settled
+from ..functions.canonical import canonical
+from ..operators import facts as FA, ingest, labels, pack
+from ..operators.staging import new_folder, settled
 from ..operators.store import FactStore, Verdicts
 from ..operators.verify import verify_claims
-from ..sources import releases, search, vocabulary as V
+from ..sources import filings, guidance, payloads as P, releases, search, sink, vocabulary as V
 from . import star
-from .base import BASE, million
+from .base import BASE, KEY, million
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -229,3 +230,140 @@ def late_verdicts(spark, sf):
     out = settled(kept.verdicts.join(again, "claim_id", "left").select("entity", "period", kind.alias("kind"), F.coalesce("again", F.lit(False)).alias("late"), "verdict"), "late")
     store.drop()
     return out
+
+
+@query(f"""{_W}, n AS (SELECT *, max(t) OVER (PARTITION BY entity) AS newest FROM b WHERE y * 4 + q <= 8007 - nk % 4), f AS (SELECT * FROM n WHERE t > newest - 8)
+SELECT entity, 'total_revenue' AS what, period, v1 AS amount, '2002-01-01' AS as_of FROM f UNION ALL SELECT entity, 'total_revenue', period, v2, '2002-06-01' FROM f WHERE v1 <> v2
+UNION ALL SELECT DISTINCT entity, 'skipped: Concept' || nk || ' Revenues[EUR]', NULL, NULL, NULL FROM b UNION ALL SELECT DISTINCT '', 'shape: Odd', NULL, NULL, NULL FROM b WHERE nk % 3 = 0 UNION ALL SELECT '', 'corrupt: ' || count(DISTINCT nk), NULL, NULL, NULL FROM b""")
+def feed_payloads(spark, sf):
+    """Feeds read from text: a payload a line, with a concept of a name of its own in each, a unit that isn't read, a concept of another shape, and as many lines that are no JSON."""
+    q = star.quarters(spark, sf).filter("y * 4 + q <= 8007 - c_nationkey % 4")
+    day = F.concat_ws("-", F.col("y").cast("string"), F.lpad((F.col("q") * 3).cast("string"), 2, "0"), F.lit("28"))
+    occ = lambda v, filed: F.format_string('{"end":"%s","val":%d,"accn":"%s","form":"10-Q","filed":"%s"}', day, F.col(v), F.lit(filed), F.lit(filed))
+    each = q.select("entity", "c_nationkey", F.explode(F.array(occ("v1", "2002-01-01"), occ("v2", "2002-06-01"))).alias("o")).groupBy("entity", "c_nationkey").agg(F.array_join(F.collect_list("o"), ",").alias("o"))
+    odd = F.when(F.col("c_nationkey") % 3 == 0, ',"Odd":{"units":{"USD":7}}').otherwise("")
+    text = F.concat(F.lit('{"cik":1,"entityName":"'), F.col("entity"), F.lit('","facts":{"us-gaap":{"Revenues":{"label":"Revenue","units":{"EUR":[],"USD":['), F.col("o"), F.lit(']}},"Concept'), F.col("c_nationkey").cast("string"), F.lit('":{"units":{"USD":[]}}'), odd, F.lit("}}}"))
+    folder = new_folder(spark, "feeds")
+    each.select(F.explode(F.array(text, F.lit('{"cik": 1, "facts'))).alias("value")).write.text(folder)
+    payloads = P.read_payloads(spark, folder, whole=False)
+    units, shape = P.feed_units(payloads)
+    facts, report = filings.unit_facts(units, V.metrics_table(spark), star.TENANT, 8)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("period", "string"), ("amount", "long"), ("as_of", "string"))]
+    out = facts.select("entity", F.col("metric").alias("what"), "period", F.col("value").cast("long").alias("amount"), "as_of")
+    out = out.unionByName(report.select("entity", F.concat(F.lit("skipped: "), F.array_join("skipped_tags", " ")).alias("what"), *none))
+    out = out.unionByName(shape.select(F.lit("").alias("entity"), F.concat(F.lit("shape: "), F.col("concept")).alias("what"), *none).distinct())
+    return out.unionByName(P.corrupt(payloads).agg(F.concat(F.lit("corrupt: "), F.count(F.lit(1)).cast("string")).alias("what")).select(F.lit("").alias("entity"), "what", *none))
+
+
+@query(f"""{_W} SELECT 'set' || nk AS name, count(*) AS total, count(*) FILTER (WHERE k % 4 <> 3) AS exact, count(*) FILTER (WHERE k % 4 IN (1, 3)) AS flagged, count(*) FILTER (WHERE k % 4 = 3) AS missed FROM b GROUP BY nk""")
+def golden_sets(spark, sf):
+    """A golden set for each nation, read from text and run: figures that are right, wrong, or labelled wrong."""
+    q = star.quarters(spark, sf)
+    m = F.col("k") % 4
+    shown = star.millions(F.col("v2") + F.when(m.isin(1, 3), 100_000_000).otherwise(0))
+    case = F.format_string('{"id":"%s-%s","entity":"%s","metric":"kept_total","period":"%s","text":"%s","expected":"%s"}', "entity", "period", "entity", "period", shown, F.when(m == 1, "conflict").otherwise("traced"))
+    sets = q.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.replace(case, F.lit("kept_total"), F.lit("total_revenue")))), ", ").alias("cases"))
+    text = F.concat(F.lit('{"name": "set'), F.col("c_nationkey").cast("string"), F.lit('", "tenant": "star", "filing_fixture": "f", "cases": ['), F.col("cases"), F.lit("]}"))
+    folder = new_folder(spark, "golden")
+    sets.select(text.alias("value")).write.text(folder)
+    cases = P.case_claims(P.golden_cases(P.read_payloads(spark, folder, whole=False)))
+    v = verify_claims(cases, star.facts(spark, sf), star.metrics(spark))
+    flag = F.col("verdict") != "traced"
+    return v.groupBy(F.substring("document_id", 6, 20).alias("name")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == F.col("expected")).alias("exact"), F.count_if(flag).alias("flagged"), F.count_if(flag & (F.col("expected") == "traced")).alias("missed"))
+
+
+@query("SELECT 'E' || (o_custkey % 40) || '-' || CASE WHEN o_orderkey % 3 = 0 THEN 'a' || (o_orderkey % 11) ELSE 'FY2001-Q' || (o_orderkey % 4 + 1) END || '.txt' AS name, max_by('text ' || o_orderkey, ('a' || (o_orderkey % 11), 'text ' || o_orderkey)) AS text FROM orders GROUP BY ALL")
+def release_files(spark, sf):
+    """Releases written to files of their names, and read back."""
+    o = _read(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    r = o.select(F.concat(F.lit("E"), (F.col("o_custkey") % 40).cast("string")).alias("entity"), F.when(key % 3 != 0, F.concat(F.lit("FY2001-Q"), (key % 4 + 1).cast("string"))).alias("period"), F.concat(F.lit("a"), (key % 11).cast("string")).alias("accession"), F.concat(F.lit("text "), key.cast("string")).alias("text"))
+    folder = new_folder(spark, "releases")
+    sink.write_release_files(r, folder)
+    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+
+
+@query(f"""{_W}, n AS (SELECT entity, count(*) AS n, count(*) FILTER (WHERE k % 4 = 0) AS odd FROM b GROUP BY entity)
+SELECT 'star' AS tenant_id, '{{"ingested":' || (n - odd) || ',"skipped":' || odd || ',"skipped_tags":[' || array_to_string(list_transform(range(odd), lambda i: '"x:Unknown"'), ',') || '],"source":"edgar_xbrl:a-' || entity || '"}}' AS payload FROM n""")
+def ingest_log(spark, sf):
+    """Events of ingested filing instances: what was taken and, tag by tag, what wasn't."""
+    q = star.quarters(spark, sf)
+    none = [F.lit(None).cast("string").alias(c) for c in ("source_type", "source_ref", "label", "excerpt", "source_url", "as_of", "confidence")]
+    item = F.struct(F.when(F.col("k") % 4 == 0, "x:Unknown").otherwise("us-gaap:Revenues").alias("tag"), F.lit(None).cast("string").alias("metric"), F.lit(None).cast("string").alias("entity"), "period", F.col("v2").cast("string").alias("value"), F.lit("USD").alias("unit"), F.lit(-3).alias("decimals"), *none)
+    inst = q.groupBy("entity").agg(F.array_sort(F.collect_list(item)).alias("facts")).withColumn("accession", F.concat(F.lit("a-"), F.col("entity")))
+    return ingest.ingest_events(filings.instance_facts(inst, V.metrics_table(spark), star.TENANT)[1], "2002-01-01T00:00:00").select("tenant_id", "payload")
+
+
+@query(f"""{_W}, v AS (SELECT entity, period, 'g-' || entity AS accn, 1 AS i, '2002-01-01' AS filed FROM b UNION ALL SELECT entity, period, 'h-' || entity, 2, '2002-06-01' FROM b WHERE v1 <> v2)
+SELECT entity, period, accn || ':' || entity || ':total_revenue:' || period || ':v' || row_number() OVER (PARTITION BY entity ORDER BY period, filed, accn) AS id FROM v""")
+def feed_versions(spark, sf):
+    """Ids of a feed's facts: the versions that are kept, numbered within a company by metric, period and filing; a value filed again is no version."""
+    q = star.quarters(spark, sf)
+    day = F.concat_ws("-", F.col("y").cast("string"), F.lpad((F.col("q") * 3).cast("string"), 2, "0"), F.lit("28"))
+    occ = lambda v, filed, accn: F.struct(F.lit(None).cast("string").alias("start"), day.alias("end"), F.col(v).cast("string").alias("val"), F.concat(F.lit(accn), F.col("entity")).alias("accn"), F.lit("10-Q").alias("form"), F.lit(filed).alias("filed"), F.lit(None).cast("string").alias("frame"))
+    each = q.select("entity", F.explode(F.array(occ("v1", "2002-01-01", "g-"), occ("v2", "2002-06-01", "h-"), occ("v2", "2002-09-01", "i-"))).alias("o")).groupBy("entity").agg(F.collect_list("o").alias("occ"))
+    units = each.select(F.lit(1).cast("long").alias("cik"), "entity", F.lit("Revenues").alias("concept"), F.lit("Revenue").alias("label"), F.lit("USD").alias("u"), "occ")
+    return filings.unit_facts(units, V.metrics_table(spark), star.TENANT, 1000)[0].select("entity", "period", "id")
+
+
+@query(f"""{_W} SELECT entity, period, 'guidance_8k:' || entity || '-' || period AS source, 1::BIGINT AS ingested, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END::BIGINT AS skipped,
+CASE WHEN k % 2 = 0 THEN 'We expect to do well.|' ELSE '' END || 'The company also expects revenue of $1 million.|Management anticipates much of what was said before to hold ' AS sentences, {million('v2')}::BIGINT AS amount FROM b""")
+def guidance_reports(spark, sf):
+    """Of two statements of one scope the first counts; sentences that look ahead but give no fact are reported, cut to sixty characters."""
+    q = star.quarters(spark, sf)
+    text = F.concat(F.when(F.col("k") % 2 == 0, "We expect to do well. ").otherwise(""), F.lit("For the next period the company expects revenue of "), star.millions(F.col("v2")), F.lit(". The company also expects revenue of $1 million. Management anticipates much of what was said before to hold for all of the year."))
+    rel = q.select(F.lit(star.TENANT).alias("tenant_id"), "entity", F.concat_ws("-", "entity", "period").alias("accession"), F.col("period").alias("base_period"), F.lit("2002-01-01").alias("as_of"), F.lit(None).cast("string").alias("label"), text.alias("text"))
+    facts, skipped = guidance.guidance_facts(rel)
+    facts = settled(facts, "guidance")
+    report = ingest.guidance_report(facts, skipped).select("source", "ingested", "skipped", F.array_join("skipped_tags", "|").alias("sentences"))
+    amounts = facts.select(F.concat(F.lit("guidance_8k:"), F.split("source_ref", "#")[0]).alias("source"), (F.col("value") * 10000).cast("long").alias("amount"))
+    names = q.select(F.concat(F.lit("guidance_8k:"), F.concat_ws("-", "entity", "period")).alias("source"), "entity", "period")
+    return report.join(amounts, "source").join(names, "source").select("entity", "period", "source", "ingested", "skipped", "sentences", "amount")
+
+
+@query(f"""{_W}, i AS (SELECT entity, period, CASE WHEN k % 3 = 0 THEN 'no-such-' || entity || period ELSE '2002-06-01:' || entity || ':total_revenue:' || period END AS id, k, v2 FROM b)
+SELECT id, CASE WHEN k % 3 <> 0 THEN v2::BIGINT END AS amount FROM i""")
+def fact_lookup(spark, sf):
+    """Facts by id among those of one tenant: each id's fact, or none."""
+    q = star.quarters(spark, sf)
+    ids = q.select(F.when(F.col("k") % 3 == 0, F.concat(F.lit("no-such-"), "entity", "period")).otherwise(F.concat(F.lit("2002-06-01:"), "entity", F.lit(":total_revenue:"), "period")).alias("id"))
+    facts = star.facts_of(q)
+    every = facts.unionByName(facts.withColumn("tenant_id", F.lit("other")).withColumn("id", F.concat(F.lit("other-"), "id")))
+    return FA.facts_by_ids(FA.of_tenant(every, star.TENANT), ids).select("id", (F.col("fact.value") * 10000).cast("long").alias("amount"))
+
+
+@query(f"""{_W}, c AS (SELECT entity, period, unnest([1, 2, 3]) AS n, k FROM b), s AS (SELECT *, 'release-' || entity || '-' || period AS d, CASE WHEN n = 3 AND k % 2 = 0 THEN NULL WHEN n = 2 THEN 5 ELSE 50 END AS begins FROM c)
+SELECT d || '-c' || n AS claim_id, (row_number() OVER (PARTITION BY d ORDER BY coalesce(begins, 0), n))::INT AS place FROM s""")
+def claim_order(spark, sf):
+    """Claims of a document by place; one without a span counts as at the start, ties go by id."""
+    q = star.quarters(spark, sf)
+    one = lambda n, at: star._claim(q, "release", n, "total_revenue", F.lit("$1")).join(q.select("entity", "period", "k"), ["entity", "period"]).withColumn("span", F.when(at.isNotNull(), F.struct(at.alias("start"), (at + 1).alias("end")))).drop("k")
+    claims = one(1, F.lit(50)).unionByName(one(2, F.lit(5))).unionByName(one(3, F.when(F.col("k") % 2 != 0, 50)))
+    return pack.claims_in_order(claims).select("claim_id", "place")
+
+
+@query(f"""{_W}, p AS (SELECT b.*, w.v2 AS was FROM b LEFT JOIN b w ON w.entity = b.entity AND w.t = b.t - 4)
+SELECT {_REL}, unnest(['revenue_parts', 'return_share']) AS metric, unnest(['derived:kept_revenue + returned_revenue', 'derived:returned_revenue / total_revenue']) AS ref FROM p
+UNION ALL SELECT {_REL}, 'revenue_growth_yoy', CASE WHEN was IS NOT NULL THEN 'derived:yoy_growth(total_revenue)' END FROM p""")
+def derived_sources(spark, sf):
+    """What a recomputed figure names as its source: the identity it was recomputed by."""
+    q = star.quarters(spark, sf)
+    claims = star._claim(q, "release", 1, "revenue_parts", F.lit("$1")).unionByName(star._claim(q, "release", 2, "return_share", F.lit("1%"))).unionByName(star._claim(q, "release", 3, "revenue_growth_yoy", F.lit("1%")))
+    return verify_claims(claims, star.facts_of(q), star.metrics(spark)).select("document_id", "metric", F.col("provenance.ref").alias("ref"))
+
+
+@query(f"""{_W}, g AS (SELECT entity, {KEY.format(t="t + 1")} AS period FROM b WHERE nk % 5 = 0)
+SELECT b.entity, b.period, CASE WHEN g.period IS NOT NULL THEN 'source is not filed' ELSE 'no source in the fact store' END AS reason, CASE WHEN g.period IS NOT NULL THEN 'needs_review' ELSE 'untraced' END AS verdict FROM b LEFT JOIN g ON g.entity = b.entity AND g.period = b.period""")
+def soft_sources(spark, sf):
+    """Claims whose latest source was not filed go to a reader, whatever they say."""
+    q = star.quarters(spark, sf)
+    return verify_claims(star._claim(q, "release", 1, "revenue_guidance", star.millions(F.col("v2"))), star.facts_of(q), star.metrics(spark)).select("entity", "period", "reason", "verdict")
+
+
+@query("SELECT o_orderkey::BIGINT AS id, CASE o_orderkey % 3 WHEN 0 THEN '{\"a\":[1,{\"x\":' || o_orderkey || ',\"y\":null}],\"b\":\"\\u00e9' || o_custkey || '\"}' WHEN 1 THEN '[true,' || o_orderkey || '.5,\"\\ud83d\\ude00\"]' END AS canonical FROM orders")
+def canonical_payloads(spark, sf):
+    """Payloads with keys in any order, spaces, and characters outside ASCII; some are no JSON."""
+    o = _read(spark, sf, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    text = F.when(key % 3 == 0, F.concat(F.lit('{ "b": "é'), cust, F.lit('", "a": [1, {"y": null, "x": '), key.cast("string"), F.lit("}] }"))).when(key % 3 == 1, F.concat(F.lit("[ true, "), key.cast("string"), F.lit('.5, "\U0001f600" ]'))).otherwise("{")
+    return canonical(o.select(key.cast("long").alias("id"), text.alias("t")), "id", "t", 3)

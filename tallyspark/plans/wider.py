@@ -20,6 +20,11 @@ _REL = "'release-' || entity || '-' || period AS document_id"
 _PERCENT = "CASE WHEN {n} < 0 THEN '-' ELSE '' END || regexp_replace(printf('%d.%04d', ({t} // 10000)::BIGINT, ({t} % 10000)::BIGINT), '\\.?0+$', '') || '%'"
 
 
+def _dollars(x: str) -> str:
+    n = f"((({x}) + 50000000) // 100000000)"
+    return f"('$' || ({n} // 100) || '.' || lpad(({n} % 100)::VARCHAR, 2, '0') || ' million')"
+
+
 def query(sql: str):
     def put(f):
         QUERIES[f.__name__], SQL[f.__name__] = f, sql
@@ -169,13 +174,14 @@ def highlight_spans(spark, sf):
     return pack.highlights(claims.unionByName(second), verdicts).drop("tenant_id")
 
 
-@query(f"""{_W}, c AS (SELECT 'release-' || entity || '-' || period AS d, period FROM b WHERE k % 7 = 5)
-SELECT (row_number() OVER (ORDER BY d))::BIGINT - 1 AS seq, '{{"claim_id":"' || d || '-c1","displayed_text":"' || text || '","document_id":"' || d || '","metric":"unknown_metric","period":"' || period || '","source_ref":"none","verdict":"untraced"}}' AS payload
-FROM (SELECT c.*, '$' || (m // 100) || '.' || lpad((m % 100)::VARCHAR, 2, '0') || ' million' AS text FROM c JOIN (SELECT entity, period, (v2 + 50000000) // 100000000 AS m FROM b) x ON c.d = 'release-' || x.entity || '-' || x.period)""")
+@query(f"""{_W}, m AS (SELECT *, 'release-' || entity || '-' || period AS d, k % 7 AS m FROM b),
+t AS (SELECT *, CASE m WHEN 1 THEN '$' || (v2 + 5000000) // 10000000 || ' thousand' WHEN 2 THEN {_dollars('v1')} WHEN 3 THEN {_dollars('v2 + 100000000')} WHEN 4 THEN {_dollars('v2')} || ' to ' || {_dollars('v2 + 200000000')} ELSE {_dollars('v2')} END AS text,
+  CASE WHEN m = 5 THEN 'untraced' WHEN m IN (4, 6) THEN 'needs_review' WHEN m IN (0, 1) THEN 'traced' WHEN m = 2 AND {million('v1')} = {million('v2')} THEN 'traced' ELSE 'conflict' END AS verdict FROM m)
+SELECT (row_number() OVER (ORDER BY d))::BIGINT - 1 AS seq, '{{"claim_id":"' || d || '-c1","displayed_text":"' || text || '","document_id":"' || d || '","metric":"' || CASE WHEN m = 5 THEN 'unknown_metric' ELSE 'total_revenue' END || '","period":"' || period || '","source_ref":"' || CASE WHEN m = 5 THEN 'none' ELSE 'f#total_revenue' END || '","verdict":"' || verdict || '"}}' AS payload FROM t""")
 def audit_verdicts(spark, sf):
-    """A chain of the untraced verdicts' events."""
+    """A chain of all verdicts' events."""
     v = verify_claims(star.tie_out_claims(star.quarters(spark, sf)), star.facts(spark, sf), star.metrics(spark))
-    return audit.append(audit.verdict_events(v.filter("verdict = 'untraced'"), "2002-01-01T00:00:00")).select("seq", "payload")
+    return audit.append(audit.verdict_events(v, "2002-01-01T00:00:00")).select("seq", "payload")
 
 
 @query(f"{_W} SELECT false AS publishable, (SELECT count(*) FROM b WHERE k % 4 = 0 OR k % 3 = 0)::BIGINT AS across")

@@ -54,11 +54,15 @@ def filing_url(cik: Column, accession: Column) -> Column:
 def feed_facts(feeds: DataFrame, metrics: DataFrame, tenant: str, quarters: int = 12) -> tuple[DataFrame, DataFrame]:
     """Facts of reported-fact feeds (one company a row): restatements as versions, within a lookback of quarters, each company's own."""
     concept = feeds.select(F.coalesce("cik", F.lit(0)).alias("cik"), F.coalesce("entityName", F.col("cik").cast("string")).alias("entity"), F.explode("facts.us-gaap").alias("concept", "c"))
-    rows = concept.withColumn("tag", F.concat(F.lit("us-gaap:"), F.col("concept"))).join(F.broadcast(tags_table(metrics).withColumnRenamed("unit", "m_unit")), "tag", "left")
-    unit = rows.select("*", F.explode("c.units").alias("u", "occ"))
+    return unit_facts(concept.select("cik", "entity", "concept", F.col("c.label").alias("label"), F.explode("c.units").alias("u", "occ")), metrics, tenant, quarters)
+
+
+def unit_facts(units: DataFrame, metrics: DataFrame, tenant: str, quarters: int = 12) -> tuple[DataFrame, DataFrame]:
+    """``feed_facts`` of a row for each unit of each concept: cik, entity, concept, label, u, occ (the occurrences)."""
+    unit = units.withColumn("tag", F.concat(F.lit("us-gaap:"), F.col("concept"))).join(tags_table(metrics).withColumnRenamed("unit", "m_unit"), "tag", "left")
     skip = F.when(F.col("metric").isNull(), F.col("concept")).when(~F.col("u").isin(*KNOWN_UNITS), F.concat(F.col("concept"), F.lit("["), F.col("u"), F.lit("]")))
     unit = unit.withColumn("skipped", skip)
-    occ = unit.filter("skipped IS NULL").select("cik", "entity", "metric", "m_unit", "tag", F.col("c.label").alias("label"), F.posexplode("occ").alias("i", "o"))
+    occ = unit.filter("skipped IS NULL").select("cik", "entity", "metric", "m_unit", "tag", "label", F.posexplode("occ").alias("i", "o"))
     occ = occ.withColumn("period", P.occurrence_period(F.col("o.frame"), F.col("o.start"), F.col("o.end"))).withColumn("value", F.col("o.val").try_cast(Q.DEC)).filter("value IS NOT NULL AND period IS NOT NULL")
     occ = occ.select("cik", "entity", "metric", "m_unit", "tag", "label", "period", "value", "i", F.coalesce("o.filed", F.lit("")).alias("filed"), F.coalesce("o.accn", F.lit("")).alias("accn"))
     kept = restatements(within_lookback(occ, quarters, ("cik", "entity")), ["cik", "entity", "metric", "period"], ["filed", "accn", "tag", "i"])

@@ -185,10 +185,3 @@ def release_title(text: Column) -> Column:
     reports = F.trim(F.regexp_extract(text, r"(?im)^.{0,100}\breports\b.{0,100}$", 0))
     first = F.substring(F.trim(F.regexp_extract(text, r"(?m)^.*\S.*$", 0)), 1, 120)
     return F.coalesce(F.nullif(reports, F.lit("")), F.nullif(first, F.lit("")), F.lit("(empty document)"))
-
-
-def write_releases(releases: DataFrame, folder: str) -> None:
-    """Texts in files partitioned by their name ``<entity>-<period, else accession, else unknown>``."""
-    name = F.concat_ws("-", "entity", F.coalesce("period", "accession", F.lit("unknown")))
-    releases.select(name.alias("name"), F.col("text").alias("value")).write.partitionBy("name").text(folder)
-
