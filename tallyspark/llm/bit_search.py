@@ -10,7 +10,7 @@
    with the query's product with the centre, it estimates the inner product. The error bound is
    ``WIDTH`` standard deviations of the rotation's error, and the query's rounding in full.
 4. Choice: a query first meets a block of its own cell; its k-th best score there is a floor under
-   the final one. Then it meets the blocks of every cell whose best possible score (product with the
+   the final one, and what was found there is kept. Then it meets the other blocks of every cell whose best possible score (product with the
    centre plus norm times the cell's radius) reaches the floor. Block by block only vectors whose upper bound
    reaches the best floor so far are reranked with the original vectors, in double precision.
 
@@ -124,7 +124,7 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search_block(qid: np.ndarray, queries: np.ndarray, floor: np.ndarray, cid: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, correction: np.ndarray, centre: np.ndarray, k: int, turn: np.ndarray, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a cell's block for each query, of those that reach its floor: query and candidate places, scores.
 
-    ``seen``, if given, gets the number of pairs met and of those reranked.
+    ``seen``, if given, gets the number of pairs met, of those reranked and, where it has a third place, of the products taken for floors.
     """
     dim = queries.shape[1]
     gain = norm / correction
@@ -154,6 +154,7 @@ def search_block(qid: np.ndarray, queries: np.ndarray, floor: np.ndarray, cid: n
         if seen is not None:
             seen[0] += est.size
             seen[1] += int(choice.sum())
+            seen[2:] = [seen[2] + (len(x) * take if take >= k else 0)] if len(seen) > 2 else []
         q, c = np.repeat(np.arange(len(x)), [len(js) for js in near]), np.concatenate(near)
         score = in_order(x[q], vectors[c])
         by = np.lexsort((cid[c], -score, q))
@@ -237,9 +238,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     nothing = F.lit(float("-inf")).alias("floor")
     holds = indexed.withColumn("lane", lot(1, of_cell)).withColumn("side", F.lit(1)).withColumn("floor", nothing)
     home = indexed.filter("asks").withColumn("lane", lot(2, of_cell)).withColumn("side", F.lit(0)).withColumn("floor", nothing)
-    first = _search(holds.unionByName(home).withColumn("q", F.lit(0)).select(*columns), at, k, dim)
+    first = staged(_search(holds.unionByName(home).withColumn("q", F.lit(0)).select(*columns), at, k, dim), "first")
     floors = first.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("reached"))  # at most k rows a query
-    asks = indexed.filter("asks").join(floors, F.col("row") == F.col("query_row"), "left").withColumn("floor", F.coalesce("reached", nothing))
+    met = indexed.filter("asks").withColumn("met_cell", F.col("cell")).withColumn("met_lane", lot(2, of_cell))
+    asks = met.join(floors, F.col("row") == F.col("query_row"), "left").withColumn("floor", F.coalesce("reached", nothing))
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,10 +252,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
             cuts = np.append(0, np.cumsum(found.sum(axis=1))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.nonzero(found)[1].astype(np.int32)))], names=[*b.schema.names, "cells"])
 
-    kept = "row long, vec_id long, vector binary, code binary, norm double, correction double, floor double"
-    asks = asks.select(*(c.split()[0] for c in kept.split(", "))).mapInArrow(frugal(reach), f"{kept}, cells array<int>")
+    kept = "row long, vec_id long, vector binary, code binary, norm double, correction double, floor double, met_cell int, met_lane int"
+    asks = staged(asks.select(*(c.split()[0] for c in kept.split(", "))).mapInArrow(frugal(reach), f"{kept}, cells array<int>"), "asks")
     asks = asks.withColumn("cell", F.explode("cells")).withColumn("lane", F.explode(F.sequence(F.lit(0), of_cell - 1))).withColumn("side", F.lit(0)).withColumn("q", lot(3, F.lit(turns)))
-    holds = holds.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    best = _search(asks.select(*columns).unionByName(holds.select(*columns)), at, k, dim)
+    asks = asks.filter((F.col("cell") != F.col("met_cell")) | (F.col("lane") != F.col("met_lane")))  # what the block at home holds is known
+    holds = holds.join(asks.select("cell", "lane", "q").distinct(), ["cell", "lane"])  # a block goes to the turns that reach it
+    best = _search(asks.select(*columns).unionByName(holds.select(*columns)), at, k, dim).unionByName(first)
     rank = F.row_number().over(Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
