@@ -160,4 +160,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names, scores, sets = model.predict(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores), pa.array(sets, pa.string())], names=["doc_id", "lang_pred", "score", "languages"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, languages string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double, languages string")

@@ -184,3 +184,16 @@ def test_coalesced_reads():
     assert list(warc.coalesced(iter(ranges), most=100, gap=5)) == [("a", 0, 30, [(0, 10), (10, 10), (25, 5)]), ("a", 200, 1100, [(0, 900)]), ("b", 0, 1, [(0, 1)])]
     for p in (0, 1, -1, 2**63 - 1, -(2**63), None):
         assert warc.page_of(warc.record_id(p, b"x")) == p
+
+
+def test_language_of_int_ids_and_clashing_columns(spark):
+    """Ids of another type, repeated rows and columns named like the operator's own."""
+    from tallyspark.llm import language_id
+
+    rows = [(i, ("the cat sat on the mat and the dog " if i % 2 else "le chat est sur la table et le chien ") * (1 + i % 5), "en" if i % 2 else "fr") for i in range(60)]
+    known = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = language_id.fit(known)
+    asked = known.unionByName(known.limit(4)).unionByName(spark.createDataFrame([(900, None, None), (901, " 12 ", "en")], known.schema)).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)).withColumn("languages", F.lit(2))
+    got = language_id.predict(asked, model).collect()
+    want = {i: lang for i, _, lang in rows} | {900: "und", 901: "und"}
+    assert len(got) == 66 and all(r.lang_pred == want[r.doc_id] for r in got)
