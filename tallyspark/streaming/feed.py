@@ -1,4 +1,4 @@
-"""Facts and verdicts as they arrive: late filings become versions, verdicts are appended per batch."""
+"""Facts and verdicts as they arrive: late filings become versions, and turn the verdicts of the claims that read them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facts import FACTS
+from ..operators.store import Verdicts
 from ..operators.verify import verify_claims
 
 
@@ -31,3 +32,20 @@ def verify_stream(claims: DataFrame, store: str, metrics: DataFrame, out: str, c
         verify_claims(df, facts, metrics).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated batch replaces its rows
 
     return claims.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_facts(stream: DataFrame, kept: Verdicts, out: str, checkpoint: str, since: str | None = None) -> StreamingQuery:
+    """Take arriving facts into a kept store; the claims that read them are verified again, and their new verdicts appended to ``out``.
+
+    A batch costs what it touches: its parts of the store and its claims. It may come again: ids are taken once, and its folder is replaced.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        kept.add_facts(df, since).write.mode("overwrite").parquet(f"{out}/facts-epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_claims(stream: DataFrame, kept: Verdicts, checkpoint: str) -> StreamingQuery:
+    """Verify arriving claims against a kept store, and remember what they read, for facts that come later."""
+    return stream.writeStream.foreachBatch(lambda df, _: kept.add_claims(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -108,3 +108,21 @@ def test_late_facts_turn_only_what_reads_them(spark, rows):
     full = {r.claim_id: r.verdict for r in verify_claims(spark.createDataFrame(claims, CLAIM), df(facts), metrics).collect()}
     assert all(full[r.claim_id] == r.verdict for r in kept.verdicts.collect() if r.claim_id in open_ids)
     kept.store.drop()
+
+
+def test_streams_keep_verdicts(spark, rows, tmp_path):
+    """Claims come first, facts in two files after: verdicts end as from scratch."""
+    from tallyspark.streaming.feed import keep_claims, keep_facts, stream_facts
+
+    facts, claims = rows
+    metrics, df = metrics_table(spark), lambda x: spark.createDataFrame(x, FA.FACTS)
+    spark.createDataFrame(claims, CLAIM).coalesce(1).write.parquet(str(tmp_path / "claims"))
+    kept = Verdicts(FactStore(spark, buckets=2, parts=2), metrics)
+    keep_claims(spark.readStream.schema(CLAIM).parquet(str(tmp_path / "claims")), kept, str(tmp_path / "c1")).awaitTermination(240)
+    for part in (facts[:120], facts[100:]):
+        df(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "facts"))
+        keep_facts(stream_facts(spark, str(tmp_path / "facts")), kept, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination(240)
+    same = lambda v: sorted(map(repr, v.collect()))
+    assert same(kept.verdicts) == same(verify_claims(spark.createDataFrame(claims, CLAIM), df(facts), metrics))
+    assert len(list((tmp_path / "out").glob("facts-epoch=*"))) == 2
+    kept.store.drop()
