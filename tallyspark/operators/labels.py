@@ -53,7 +53,7 @@ def label_spans(documents: DataFrame, phrases: DataFrame, own: DataFrame | None
         each = at.select(*KEYS, "start", F.explode(F.transform(F.sequence(F.lit(1), F.length("found")), lambda n: F.substring(longest, F.lit(1), n))).alias("phrase"))  # what else begins there is a prefix
         return each.join(listed, [*by, "phrase"]).select(*KEYS, "start", (F.col("start") + F.length("phrase")).alias("end"), "metric", "unit", "place")
 
-    out = found(documents.crossJoin(_pattern()(phrases)), phrases, [])  # the pattern is one row
+    out = found(documents.withColumn("pattern", _pattern()(phrases).scalar()), phrases, [])
     if own is not None:
         out = out.unionByName(found(documents.join(_pattern("tenant_id")(own), "tenant_id"), own, ["tenant_id"])).distinct()
     return out

@@ -21,7 +21,7 @@ GROWTH = ("yoy_growth", "qoq_growth", "delta_bps")
 def parsed(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     """Claims with their quantity ``q``, range ``r`` and metric's ``spec``: worked out once for all that follows."""
     spec = metrics.select(F.col("id").alias("metric"), F.struct(*metrics.columns).alias("spec"))
-    return claims.join(F.broadcast(spec), "metric", "left").withColumn("q", Q.parse_quantity(F.col("displayed_text"))).withColumn("r", Q.parse_range(F.col("displayed_text")))
+    return claims.join(spec, "metric", "left").withColumn("q", Q.parse_quantity(F.col("displayed_text"))).withColumn("r", Q.parse_range(F.col("displayed_text")))
 
 
 def operands(claims: DataFrame) -> DataFrame:

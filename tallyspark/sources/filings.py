@@ -29,9 +29,9 @@ def instance_facts(instances: DataFrame, metrics: DataFrame, tenant: str) -> tup
     """Facts of simplified instances and a report for each accession. What maps to no metric is reported, never guessed."""
     raw = instances.select(F.coalesce("accession", F.lit("unknown")).alias("accession"), F.coalesce("entity", F.lit("unknown")).alias("issuer"), F.posexplode("facts").alias("i", "f"))
     tags = tags_table(metrics).select("tag", F.col("metric").alias("by_tag"))
-    rows = raw.withColumn("tag", F.col("f.tag")).join(F.broadcast(tags), "tag", "left").withColumn("metric", F.coalesce("f.metric", "by_tag"))
+    rows = raw.withColumn("tag", F.col("f.tag")).join(tags, "tag", "left").withColumn("metric", F.coalesce("f.metric", "by_tag"))
     known = metrics.select(F.col("id").alias("metric"), F.col("unit").alias("m_unit"))
-    rows = rows.join(F.broadcast(known), "metric", "left").withColumn("tenant_id", F.lit(tenant)).withColumn("skipped", F.when(F.col("m_unit").isNull(), F.coalesce("tag", F.lit("<no-tag>"))))
+    rows = rows.join(known, "metric", "left").withColumn("tenant_id", F.lit(tenant)).withColumn("skipped", F.when(F.col("m_unit").isNull(), F.coalesce("tag", F.lit("<no-tag>"))))
     kind = F.coalesce("f.source_type", F.lit("edgar_xbrl"))
     entity = F.coalesce("f.entity", "issuer")
     facts = rows.filter("skipped IS NULL").select(

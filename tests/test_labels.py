@@ -89,3 +89,19 @@ def test_keywords(spark):
     got = L.named_keywords(spark.createDataFrame(docs, "tenant_id string, document_id string, low string"), spark.createDataFrame(known, "tenant_id string, keyword string"))
     assert sorted(map(tuple, got.collect())) == sorted((t, d, k) for t, d, low in docs for t2, k in known if t == t2 and k in low)
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+
+
+def test_phrase_lists(spark):
+    from tallyspark.sources import vocabulary as V
+
+    default = spark.createDataFrame([("m", 0, "one"), ("m", 1, "two"), ("n", 0, "x")], "metric string, pos int, phrase string")
+    over = spark.createDataFrame([("t", "m", 0, " Three\u00a0"), ("t", "m", 1, "ONE"), ("t", "m", 2, " "), ("t", "zzz", 0, "q"), ("u", "n", 0, None), ("v", "o", 0, "new")], "tenant_id string, metric string, pos int, phrase string")
+    metrics = spark.createDataFrame([("m",), ("n",), ("o",)], "id string")
+    lists = V.overlaid_phrases(default, over, metrics)
+    got = {(r.tenant_id, r.metric): list(r.phrases) for r in lists.collect()}
+    assert got == {(None, "m"): ["one", "two"], (None, "n"): ["x"], ("t", "m"): ["one", "two", "three"], ("u", "n"): ["x"], ("v", "o"): ["new"]}
+    put = {(r.tenant_id, r.metric): list(r.phrases) for r in V.overlaid_phrases(default, over, metrics, instead=True).collect()}
+    assert put == {(None, "m"): ["one", "two"], (None, "n"): ["x"], ("t", "m"): ["three", "one"], ("v", "o"): ["new"]}
+    assert [tuple(r) for r in V.unknown_metrics(over, metrics).collect()] == [("t", "zzz")]
+    wanted = spark.createDataFrame([("t", "m"), ("t", "n"), ("w", "m"), ("w", "o")], "tenant_id string, metric string")
+    assert {(r.tenant_id, r.metric): list(r.phrases) for r in V.phrases_for(lists, wanted).collect()} == {("t", "m"): ["one", "two", "three"], ("t", "n"): ["x"], ("w", "m"): ["one", "two"], ("w", "o"): []}
