@@ -9,6 +9,7 @@ from ..functions import periods as P
 from ..functions import quantity as Q
 from ..operators import audit, facts as FA, pack, rules
 from ..operators.claims import detect_figures, extract_claims
+from ..operators.staging import settled
 from ..operators.verify import parsed, verify_claims
 from ..sources import documents as D
 from ..sources import filings, guidance, releases
@@ -154,14 +155,16 @@ def unit_mismatch(spark, sf):
 
 
 def intra_doc(spark, sf):
-    return rules.consistency_within(parsed(star.repeated_claims(star.quarters(spark, sf)), star.metrics(spark))).select("document_id", "metric")
+    read = settled(parsed(star.repeated_claims(star.quarters(spark, sf)), star.metrics(spark)), "claims")
+    return rules.consistency_within(read).select("document_id", "metric")
 
 
 def cross_doc(spark, sf):
     """Uses that disagree across documents, all listed: those that are no figures too."""
     q = star.quarters(spark, sf)
     vague = star._claim(q.filter("k % 5 = 0"), "qa", 1, "total_revenue", F.lit("about a billion"))
-    return rules.consistency_across(parsed(star.repeated_claims(q).unionByName(vague), star.metrics(spark))).select("detail", "metric")
+    read = settled(parsed(star.repeated_claims(q).unionByName(vague), star.metrics(spark)), "claims")  # the rule reads it four times
+    return rules.consistency_across(read).select("detail", "metric")
 
 
 def range_inverted(spark, sf):
