@@ -61,7 +61,8 @@ def _power(digits: Column) -> Column:
 
 def _quantity(number: Column, unit: str, scale: Column, neg: Column) -> Column:
     clean = F.replace(number, F.lit(","), F.lit(""))
-    value = (clean.try_cast("decimal(25,10)") * scale).try_cast(DEC)  # null where it is too large: no figure then
+    written = clean.try_cast("decimal(27,10)").cast("decimal(32,10)")  # the wider type lets the product be rounded once, to DEC's places
+    value = (written * scale).try_cast(DEC)  # null where it is too large: no figure then
     digits = F.when(F.contains(clean, F.lit(".")), F.length(F.substring_index(clean, ".", -1))).otherwise(0)
     return F.when(value.isNotNull(), F.struct(F.when(neg, -value).otherwise(value).cast(DEC).alias("value"), F.lit(unit).alias("unit"), (_power(digits) * scale).try_cast(DEC).alias("quantum")))
 

@@ -104,7 +104,7 @@ def derived_ratio_pct(spark, sf):
 
 
 def derived_bps(spark, sf):
-    q = star.quarters(spark, sf).withColumn("level", F.expr("(v2 - v1) * 1000000 div v2"))
+    q = star.quarters(spark, sf).withColumn("level", star.level())
     was = q.select(F.col("entity").alias("e"), F.col("period").alias("p"), F.col("level").alias("was"))
     rows = q.join(was, (F.col("e") == F.col("entity")) & (F.col("p") == P.prior_year(F.col("period"))))
     d = F.col("level") - F.col("was")

@@ -47,6 +47,11 @@ def quarters(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
     return out.withColumn("period", F.concat(F.lit("FY"), F.col("y").cast("string"), F.lit("-Q"), F.col("q").cast("string")))
 
 
+def level() -> Column:
+    """What was returned in millionths of all, rounded down; the product may pass 64 bits."""
+    return F.expr("CAST(v2 - v1 AS DECIMAL(20,0)) * 1000000 div v2")
+
+
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts_of(quarters(spark, sf))
 
@@ -64,7 +69,7 @@ def facts_of(q: DataFrame) -> DataFrame:
         item(1, "total_revenue", v2, "2002-06-01"),
         item(2, "kept_revenue", v1),
         item(3, "returned_revenue", v2 - v1),
-        item(4, "return_level", F.expr("(v2 - v1) * 1000000 div v2"), unit="percent"),
+        item(4, "return_level", level(), unit="percent"),
         item(5, "adjusted_revenue", F.when(F.col("k") % 5 == 0, v2 + 10000).otherwise(v2)),
         F.when(F.col("c_nationkey") % 5 == 0, item(6, "revenue_guidance", v2, kind="management_input", period=P.next_quarter(F.col("period")))),
     )

@@ -85,3 +85,9 @@ def test_periods(spark, frame, start, end, want):
 def test_period_inference(spark):
     df = spark.createDataFrame([("Results", "the first quarter of fiscal 2026"), ("FY2025-Q3 draft", "x"), ("none", "none")], "a string, b string")
     assert [r[0] for r in df.select(P.infer_document_period(F.col("a"), F.col("b"))).collect()] == ["FY2026-Q1", "FY2025-Q3", None]
+
+
+def test_amounts_of_sixteen_and_seventeen_digits(spark):
+    texts = ["$3093006688482000", "$12,345,678,901,234,567.25", "$0.0000004999"]
+    got = [r.q for r in spark.createDataFrame([(t,) for t in texts], "t string").select(Q.parse_quantity(F.col("t")).alias("q")).collect()]
+    assert [g and g.value for g in got] == [Decimal("3093006688482000"), Decimal("12345678901234567.25"), Decimal(0)]

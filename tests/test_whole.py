@@ -41,3 +41,10 @@ def test_figure_counts(spark):
 
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r.doc_id: r.n_figures for r in star.figure_counts(spark, SF).collect()} == {k: len(FIGURE.findall(t)) for k, t in texts.items()}
+
+
+def test_level_of_amounts_whose_product_passes_64_bits(spark):
+    from tallyspark.plans.star import facts_of
+
+    q = spark.createDataFrame([("N", 1, 8000, "FY1999-Q4", 10_000_000_000_000, 20_000_000_000_000)], "entity string, c_nationkey long, k long, period string, v1 long, v2 long")
+    assert [r[0] for r in facts_of(q).filter("metric = 'return_level'").selectExpr("CAST(value * 10000 AS LONG)").collect()] == [500_000]
