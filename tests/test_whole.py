@@ -48,3 +48,38 @@ def test_level_of_amounts_whose_product_passes_64_bits(spark):
 
     q = spark.createDataFrame([("N", 1, 8000, "FY1999-Q4", 10_000_000_000_000, 20_000_000_000_000)], "entity string, c_nationkey long, k long, period string, v1 long, v2 long")
     assert [r[0] for r in facts_of(q).filter("metric = 'return_level'").selectExpr("CAST(value * 10000 AS LONG)").collect()] == [500_000]
+
+
+@pytest.mark.parametrize("name", ["unit_mismatch", "growth_rule", "publishable", "close_pack", "sum_rule", "tie_out_verdicts"])
+def test_lines_are_summed_once(spark, monkeypatch, name):
+    """The quarters' sums are written once, and what a query joins is made from them."""
+    from tallyspark.plans import star as quarters_of
+
+    calls, real = [], quarters_of.quarters
+    monkeypatch.setattr(quarters_of, "quarters", lambda *a, **k: calls.append(a) or real(*a, **k))
+    df = star.queries()[name](spark, SF)
+    assert len(calls) == 1 and not [f for f in df.inputFiles() if "lineitem" in f]
+
+
+def test_lines_are_dealt_once(spark, monkeypatch):
+    """Orders get their customer's nation before lines join them."""
+    from tallyspark.plans import star as quarters_of
+
+    seen = []
+    monkeypatch.setattr(quarters_of, "settled", lambda df, name: seen.append(df) or df)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quarters_of.quarters(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    joins = [line for line in plan.split("\n") if "Join " in line]
+    assert len(seen) == 1 and "o_custkey" in joins[-1] and "l_orderkey" in joins[-2]
+
+
+def test_hundredths_round_as_sql_does(spark, base):
+    from tallyspark.plans.star import _hundredths
+
+    xs = [0.0, 0.005, 0.015, 1.005, 2.675, 0.125, -0.125, -1.005, 104949.5, 1234.56, 0.07, 0.29, 1e9 + 0.01]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(_hundredths("x")).collect()]
+    assert got == [base.execute("SELECT round(?::DOUBLE * 100)::BIGINT", [x]).fetchall()[0][0] for x in xs]
