@@ -65,21 +65,25 @@ def period_arith(spark, sf):
     return star.quarters(spark, sf).select("entity", "period", P.prior_year(p).alias("prior_year"), P.prior_quarter(p).alias("prior_quarter"), P.next_quarter(p).alias("next_quarter"), P.period_rank(p).cast("long").alias("rank"))
 
 
-def _verdicts(spark, sf, claims) -> DataFrame:
-    return verify_claims(claims, _facts(spark, sf), star.metrics(spark))
+def _verdicts(spark, q, claims) -> DataFrame:
+    """Verdicts of claims against the facts of the quarters that they were made from."""
+    return verify_claims(claims, star.facts_of(q), star.metrics(spark))
 
 
 def tie_out_verdicts(spark, sf):
-    return _verdicts(spark, sf, star.tie_out_claims(star.quarters(spark, sf))).select("entity", "period", "metric", "verdict", "is_blocking")
+    q = star.quarters(spark, sf)
+    return _verdicts(spark, q, star.tie_out_claims(q)).select("entity", "period", "metric", "verdict", "is_blocking")
 
 
 def superseded_conflicts(spark, sf):
-    v = _verdicts(spark, sf, star.tie_out_claims(star.quarters(spark, sf)))
+    q = star.quarters(spark, sf)
+    v = _verdicts(spark, q, star.tie_out_claims(q))
     return v.filter(F.col("reason").startswith("superseded")).select("entity", "period")
 
 
 def _growth(spark, sf, metric, back):
-    return _verdicts(spark, sf, star.growth_claims(star.quarters(spark, sf), metric, back)).select("entity", "period", "verdict")
+    q = star.quarters(spark, sf)
+    return _verdicts(spark, q, star.growth_claims(q, metric, back)).select("entity", "period", "verdict")
 
 
 def derived_yoy(spark, sf):
@@ -93,24 +97,25 @@ def derived_qoq(spark, sf):
 def derived_sum(spark, sf):
     q = star.quarters(spark, sf)
     c = star._claim(q, "release", 4, "revenue_parts", star.millions(F.col("v2") + F.when(F.col("k") % 3 == 0, 100_000_000).otherwise(0)))
-    return _verdicts(spark, sf, c).select("entity", "period", "verdict")
+    return _verdicts(spark, q, c).select("entity", "period", "verdict")
 
 
 def derived_ratio_pct(spark, sf):
     q = star.quarters(spark, sf)
     up = F.when(F.col("k") % 3 == 0, F.expr("v2 div 1000")).otherwise(F.lit(0))
     c = star._claim(q, "release", 4, "return_share", F.concat(star.tenth(F.col("v2") - F.col("v1") + up, F.col("v2")), F.lit("%")))
-    return _verdicts(spark, sf, c).select("entity", "period", "verdict")
+    return _verdicts(spark, q, c).select("entity", "period", "verdict")
 
 
 def derived_bps(spark, sf):
-    q = star.quarters(spark, sf).withColumn("level", star.level())
-    was = q.select(F.col("entity").alias("e"), F.col("period").alias("p"), F.col("level").alias("was"))
-    rows = q.join(was, (F.col("e") == F.col("entity")) & (F.col("p") == P.prior_year(F.col("period"))))
+    q = star.quarters(spark, sf)
+    levels = q.withColumn("level", star.level())
+    was = levels.select(F.col("entity").alias("e"), F.col("period").alias("p"), F.col("level").alias("was"))
+    rows = levels.join(was, (F.col("e") == F.col("entity")) & (F.col("p") == P.prior_year(F.col("period"))))
     d = F.col("level") - F.col("was")
     n = F.floor((F.abs(d) + 50) / 100).cast("long") + F.when(F.col("k") % 3 == 0, 1).otherwise(0)
     c = star._claim(rows, "release", 4, "margin_points", F.concat(F.when(d < 0, "-").otherwise(""), n.cast("string"), F.lit(" bps")))
-    return _verdicts(spark, sf, c).select("entity", "period", "verdict")
+    return _verdicts(spark, q, c).select("entity", "period", "verdict")
 
 
 def derived_ttm(spark, sf):
@@ -119,11 +124,12 @@ def derived_ttm(spark, sf):
     n = F.count("v2").over(Window.partitionBy("entity").orderBy("t").rangeBetween(-3, 0))
     rows = q.withColumn("t", F.col("y") * 4 + F.col("q") - 1).withColumn("s", total).withColumn("n", n).filter("n = 4")
     c = star._claim(rows, "release", 4, "revenue_ttm", star.millions(F.col("s") + F.when(F.col("k") % 3 == 0, 100_000_000).otherwise(0)))
-    return rules.derived(parsed(c, star.metrics(spark)), _facts(spark, sf)).select("document_id", "rule")
+    return rules.derived(parsed(c, star.metrics(spark)), star.facts_of(q)).select("document_id", "rule")
 
 
 def _reg_g(spark, sf):
-    return rules.non_gaap(parsed(star.gaap_claims(star.quarters(spark, sf)), star.metrics(spark)), _facts(spark, sf), star.metrics(spark)).select("document_id", "metric", "rule")
+    q = star.quarters(spark, sf)
+    return rules.non_gaap(parsed(star.gaap_claims(q), star.metrics(spark)), star.facts_of(q), star.metrics(spark)).select("document_id", "metric", "rule")
 
 
 def reg_g_prominence(spark, sf):
@@ -140,12 +146,12 @@ def reg_g_ordering(spark, sf):
 
 def forward_looking(spark, sf):
     q = star.quarters(spark, sf)
-    return rules.forward_looking(star.documents(q), parsed(star.range_claims(q), star.metrics(spark)), _facts(spark, sf)).select("document_id", "detail")
+    return rules.forward_looking(star.documents(q), parsed(star.range_claims(q), star.metrics(spark)), star.facts_of(q)).select("document_id", "detail")
 
 
 def directional(spark, sf):
     q = star.quarters(spark, sf)
-    return rules.directional(star.documents(q), parsed(star.tie_out_claims(q), star.metrics(spark)), _facts(spark, sf)).select("document_id", "detail")
+    return rules.directional(star.documents(q), parsed(star.tie_out_claims(q), star.metrics(spark)), star.facts_of(q)).select("document_id", "detail")
 
 
 def unit_mismatch(spark, sf):
@@ -177,13 +183,14 @@ def range_midpoint(spark, sf):
 
 
 def verdict_counts(spark, sf):
-    return pack.verdict_counts(_verdicts(spark, sf, star.tie_out_claims(star.quarters(spark, sf)))).drop("tenant_id")
+    q = star.quarters(spark, sf)
+    return pack.verdict_counts(_verdicts(spark, q, star.tie_out_claims(q))).drop("tenant_id")
 
 
 def publishable(spark, sf):
     q = star.quarters(spark, sf)
     docs, claims = star.documents(q), star.tie_out_claims(q)
-    v, f = pack.verify_documents(docs, claims, _facts(spark, sf), star.metrics(spark))
+    v, f = pack.verify_documents(docs, claims, star.facts_of(q), star.metrics(spark))
     return pack.publishable(docs, v, f).drop("tenant_id")
 
 
@@ -191,7 +198,7 @@ def eval_gate(spark, sf):
     q = star.quarters(spark, sf)
     m = F.col("k") % 7
     want = q.select("entity", "period", F.when(m.isin(0, 1), "traced").when(m.isin(2, 3), "conflict").when(m == 5, "untraced").otherwise("needs_review").alias("expected"))
-    r = pack.eval_report(_verdicts(spark, sf, star.tie_out_claims(q)).join(want, ["entity", "period"]))
+    r = pack.eval_report(_verdicts(spark, q, star.tie_out_claims(q)).join(want, ["entity", "period"]))
     return r.select("total", "exact", "tp", "fp", "fn", "tn")
 
 
@@ -253,8 +260,8 @@ def detect_figure_spans(spark, sf):
 
 
 def extracted_claims(spark, sf):
-    docs = star.documents(star.quarters(spark, sf))
-    return extract_claims(docs, _facts(spark, sf)).select("document_id", "metric", "displayed_text", "detect_confidence")
+    q = star.quarters(spark, sf)
+    return extract_claims(star.documents(q), star.facts_of(q)).select("document_id", "metric", "displayed_text", "detect_confidence")
 
 
 def html_text(spark, sf):
