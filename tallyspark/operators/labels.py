@@ -36,9 +36,20 @@ def phrases_of(metrics: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def _pattern(*by: str):
-    """Of phrases: the pattern that finds the longest at each place, by the columns named."""
-    longest = F.array_sort(F.collect_set(F.struct((-F.length("phrase")).alias("n"), "phrase")))
-    return lambda phrases: phrases.groupBy(*by).agg(F.array_join(F.transform(longest, lambda p: marks.literal(p["phrase"])), "|").alias("pattern"))
+    """Of phrases: the pattern that finds the longest at each place, by the columns named.
+
+    What begins at one place begins with one character, so phrases stand behind their first one, and a place tries the few that it may begin.
+    """
+    first = F.substring("phrase", 1, 1)
+    longest = F.array_sort(F.collect_set(F.struct((-F.length("phrase")).alias("n"), F.substring(F.col("phrase"), F.lit(2), F.length("phrase")).alias("rest"))))
+    rests = F.array_join(F.transform(longest, lambda p: marks.literal(p["rest"])), "|")
+    branch = F.concat(marks.literal(F.min(first)), F.lit("(?:"), rests, F.lit(")")).alias("branch")
+
+    def of(phrases: DataFrame) -> DataFrame:
+        branches = phrases.filter("phrase <> ''").groupBy(*by, F.lower(F.upper(first)).alias("head")).agg(branch)  # as patterns compare without case
+        return branches.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("branch")), "|").alias("pattern"))
+
+    return of
 
 
 def label_spans(documents: DataFrame, phrases: DataFrame, own: DataFrame | None = None) -> DataFrame:
@@ -69,21 +80,21 @@ def nearest_labels(documents: DataFrame, phrases: DataFrame, own: DataFrame | No
     Nearness comes first, then labels before the figure, longer ones, and earlier registered metrics. A figure looks back ``BACK`` characters but not beyond the start of a
     line with a colon, and ahead ``AHEAD`` but not beyond the end of its clause or the next figure.
     """
+    # Patterns are the work, and a file of short texts is few tasks; places then stay with their document. A number is named: what is small in bytes would be put together again.
+    documents = documents.select(*KEYS, "text").repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
     length = documents.select(*KEYS, F.length(F.coalesce("text", F.lit(""))).alias("size"))
     in_order = Window.partitionBy(*KEYS).orderBy("start")
     figs = figure_spans(documents).join(length, KEYS).withColumn("until", F.lead("start").over(in_order)).withColumn("unit", _unit(F.col("figure")))
     fig = F.struct("start", "end", "figure", "unit", "until", "size")
     labels = label_spans(documents, phrases, own)
     label = F.struct("start", "end", "metric", "unit", "place").cast(_LABEL)
-    none = lambda like: F.when(F.lit(False), like)
-    row = lambda df, pos, kind, f, lb: df.select(*KEYS, pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), f.alias("f"), lb.alias("lb"))
     no_fig, no_label = F.lit(None).cast(figs.select(fig.alias("f")).schema["f"].dataType), F.lit(None).cast(_LABEL)
-    stream = row(figs, F.col("start"), "from", fig, no_label).unionByName(row(figs, F.col("end"), "to", fig, no_label))
-    stream = stream.unionByName(row(labels, F.col("end"), "before", no_fig, label)).unionByName(row(labels, F.col("start"), "after", no_fig, label))
+    at = lambda pos, kind, lb=no_label: F.struct(F.col(pos).cast("int").alias("pos"), F.lit(kind).alias("kind"), lb.alias("lb"))
+    rows = lambda df, f, *ats: df.select(*KEYS, f.alias("f"), F.explode(F.array_compact(F.array(*ats))).alias("at")).select(*KEYS, "at.pos", "at.kind", "f", "at.lb")  # noqa: E731  (places are searched for once)
+    line = F.struct(F.col("start"), F.col("end"), F.col("found").alias("metric"), F.lit("").alias("unit"), F.lit(0).alias("place")).cast(_LABEL)
     cuts = marks.starts(documents, KEYS, "text", CLAUSE)
-    stream = stream.unionByName(row(cuts, F.col("start"), "cut", no_fig, no_label))
-    lines = cuts.filter(F.col("found").isin("\n", ":"))
-    stream = stream.unionByName(row(lines, F.col("start"), "line", no_fig, F.struct(F.col("start"), F.col("end"), F.col("found").alias("metric"), F.lit("").alias("unit"), F.lit(0).alias("place")).cast(_LABEL)))
+    stream = rows(figs, fig, at("start", "from"), at("end", "to")).unionByName(rows(labels, no_fig, at("end", "before", label), at("start", "after", label)))
+    stream = stream.unionByName(rows(cuts, no_fig, at("start", "cut"), F.when(F.col("found").isin("\n", ":"), at("start", "line", line))))
     place = Window.partitionBy(*KEYS).orderBy("pos")
     back, ahead = place.rangeBetween(-BACK - 1, 0), place.rangeBetween(0, AHEAD)
     last = lambda sign: F.max(F.when((F.col("kind") == "line") & (F.col("lb.metric") == sign), F.col("pos"))).over(back)

@@ -105,3 +105,22 @@ def test_phrase_lists(spark):
     assert [tuple(r) for r in V.unknown_metrics(over, metrics).collect()] == [("t", "zzz")]
     wanted = spark.createDataFrame([("t", "m"), ("t", "n"), ("w", "m"), ("w", "o")], "tenant_id string, metric string")
     assert {(r.tenant_id, r.metric): list(r.phrases) for r in V.phrases_for(lists, wanted).collect()} == {("t", "m"): ["one", "two", "three"], ("t", "n"): ["x"], ("w", "m"): ["one", "two"], ("w", "o"): []}
+
+
+def test_places_are_dealt_and_searched_for_once(spark):
+    """Documents are dealt by their key before patterns run over them; each branch of the stream stands once."""
+    docs = spark.createDataFrame([("T", str(i), "Total revenue was $5 million: fine.\nOperating cash flow, $2") for i in range(3)], "tenant_id string, document_id string, text string")
+    phrases = spark.createDataFrame([("total revenue", "total_revenue", "currency", 0), ("total", "x", "percent", 1), ("operating cash flow", "ocf", "currency", 2)], "phrase string, metric string, unit string, place int")
+    found = L.nearest_labels(docs, phrases)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("but|while") == 1
+    assert sorted((r.document_id, r.figure, r.metric) for r in found.collect()) == sorted((str(i), *x) for i in range(3) for x in (("$5 million", "total_revenue"), ("$2", "ocf")))
+
+
+def test_phrases_behind_their_first_character(spark):
+    """The longest phrase of a place is found whatever else begins with its character, also where that has another case."""
+    docs = spark.createDataFrame([("T", "d", "Net income, NET and nE; [x] Élan élan vital")], "tenant_id string, document_id string, text string")
+    phrases = spark.createDataFrame([(p, p, "currency", i) for i, p in enumerate(["net", "net income", "ne", "[x]", "élan vital", "élan", "n"])], "phrase string, metric string, unit string, place int")
+    got = sorted((r.start, r.metric) for r in L.label_spans(docs, phrases).collect())
+    text = "Net income, NET and nE; [x] Élan élan vital".lower()
+    assert got == sorted((i, p) for p in ["net", "net income", "ne", "[x]", "élan vital", "élan", "n"] for i in range(len(text)) if text.startswith(p, i))
