@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import marks
 from ..sources.releases import FIGURE
+from .staging import settled
 
 KEYS = ["tenant_id", "document_id"]
 #: Characters that a figure looks back and ahead.
 BACK, AHEAD = 90, 60
+FEW = 64  # keywords of a tenant that each of its texts is held against one by one
 CLAUSE = r"(?i)[.,;:\n]|\b(?:and|but|while|which|whereas)\b"
 _LABEL = "struct<start:int,end:int,metric:string,unit:string,place:int>"
 
@@ -135,16 +137,29 @@ def _settled(rows: DataFrame) -> DataFrame:
     return doc.select(*KEYS, F.explode(F.aggregate("figures", start, step)["done"]).alias("c")).select(*KEYS, "c.*")
 
 
-def named_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+def named_keywords(texts: DataFrame, keywords: DataFrame, few: int = FEW) -> DataFrame:
     """Keywords (tenant_id, keyword) that lie in a tenant's texts (tenant_id, document_id, low), wherever: one row for each text and keyword.
 
-    An inverted index: each text gives its distinct runs of up to three characters, each keyword the rarest of its own in the tenant's texts. They meet in an equi-join
+    A tenant's ``few`` keywords or less go with its texts as one list, and each text is held against it where it stands. What has more goes by an index.
+    """
+    known = settled(keywords.select("tenant_id", "keyword").distinct().filter("keyword <> ''"), "keywords")
+    count = known.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    short = count.filter(F.col("n") <= few).select("tenant_id")
+    lists = settled(known.join(short, "tenant_id", "left_semi").groupBy("tenant_id").agg(F.collect_list("keyword").alias("known")), "lists")  # at most ``few`` each
+    named = texts.join(lists, "tenant_id").select("tenant_id", "document_id", F.explode(F.filter("known", lambda k: F.contains("low", k))).alias("keyword"))
+    rest = settled(known.join(short, "tenant_id", "left_anti"), "rest")
+    return named if rest.isEmpty() else named.unionByName(_indexed_keywords(texts, rest))
+
+
+def _indexed_keywords(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``named_keywords`` by an inverted index, for tenants with any number of them.
+
+    Each text gives its distinct runs of up to three characters, each keyword the rarest of its own in the tenant's texts. They meet in an equi-join
     on that run, and what meets is held against the text. Rows grow with the places of rare runs, not with texts times keywords.
     """
     size = 3
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     runs = lambda c, n: F.transform(c, lambda x, i: F.array_join(F.slice(c, i + 1, n), ""))
-    known = keywords.select("tenant_id", "keyword").distinct().filter("keyword <> ''")
     own = known.withColumn("c", chars("keyword")).withColumn("w", F.least(F.lit(size), F.size("c")))
     own = own.select("tenant_id", "keyword", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("c") - F.col("w") + 1), lambda i: F.array_join(F.slice("c", i, F.col("w")), "")))).alias("run"))
     wanted = own.select("tenant_id", F.length("run").alias("n")).distinct().groupBy("tenant_id").agg(F.collect_set("n").alias("sizes"))  # at most three

@@ -124,3 +124,16 @@ def test_phrases_behind_their_first_character(spark):
     got = sorted((r.start, r.metric) for r in L.label_spans(docs, phrases).collect())
     text = "Net income, NET and nE; [x] Élan élan vital".lower()
     assert got == sorted((i, p) for p in ["net", "net income", "ne", "[x]", "élan vital", "élan", "n"] for i in range(len(text)) if text.startswith(p, i))
+
+
+def test_keywords_of_few_and_of_many(spark):
+    """A list beside each text and the index find the same; few keywords need no shuffle of the texts' runs."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 5)))
+    texts = [(t, f"{t}{i}", "".join(rnd.choice("abc ") for _ in range(30))) for t in "ABC" for i in range(10)]
+    keys = [("A", word()) for _ in range(9)] + [("B", word()) for _ in range(3)] + [("A", ""), ("D", "a")]
+    low, known = spark.createDataFrame(texts, "tenant_id string, document_id string, low string"), spark.createDataFrame(keys, "tenant_id string, keyword string")
+    want = sorted({(t, d, k) for t, d, x in texts for o, k in keys if o == t and k and k in x})
+    for few in (0, 4, 64):
+        assert sorted(map(tuple, L.named_keywords(low, known, few).collect())) == want
+    assert "split(low" not in L.named_keywords(low, known)._jdf.queryExecution().optimizedPlan().toString()
