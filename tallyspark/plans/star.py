@@ -44,6 +44,7 @@ def quarters(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
     """Amounts of each nation (and market segment) and quarter: ``v1``, ``v2`` and the key ``k``.
 
     Orders get their customer's nation before lines join them, so lines are dealt once; the sums are few rows, and written once for all that reads them.
+    Both joins shuffle at any size: the planner judges a table by its files, and else sends all lines of small files through the driver.
     """
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
     price, off = _hundredths("l_extendedprice"), _hundredths("l_discount")
@@ -52,8 +53,8 @@ def quarters(spark: SparkSession, sf: str, segments: bool = False) -> DataFrame:
     part = ["c_nationkey", *["c_mktsegment"] * segments]
     cust = read("customer").select("c_custkey", *part)
     order = read("orders").select("o_orderkey", "o_custkey")
-    whose = order.join(cust, order["o_custkey"] == cust["c_custkey"]).select("o_orderkey", *part)
-    rows = li.join(whose, li["l_orderkey"] == whose["o_orderkey"])
+    whose = order.join(cust.hint("merge"), order["o_custkey"] == cust["c_custkey"]).select("o_orderkey", *part)
+    rows = li.join(whose.hint("merge"), li["l_orderkey"] == whose["o_orderkey"])
     sums = rows.groupBy(*part, "t").agg(F.sum("a").alias("v2"), F.sum(F.when(F.col("kept"), F.col("a")).otherwise(0)).alias("v1"))
     names = read("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("entity"))
     sums = sums.select(*part, F.expr("t div 4").cast("int").alias("y"), (F.col("t") % 4 + 1).alias("q"), "v2", "v1")

@@ -77,6 +77,19 @@ def test_lines_are_dealt_once(spark, monkeypatch):
     assert len(seen) == 1 and "o_custkey" in joins[-1] and "l_orderkey" in joins[-2]
 
 
+@pytest.mark.parametrize("segments", [False, True])
+def test_no_growing_table_is_broadcast(spark, monkeypatch, segments):
+    """Lines, orders and customers are shuffled however small their files are; nations alone are sent to all."""
+    from tallyspark.plans import star as quarters_of
+
+    seen = []
+    monkeypatch.setattr(quarters_of, "settled", lambda df, name: seen.append(df) or df)
+    quarters_of.quarters(spark, SF, segments)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("\n")
+    sent = [line for line in plan if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert len([line for line in plan if "SortMergeJoin" in line]) == 2 and len(sent) <= 1 and all("c_nationkey" in line for line in sent)
+
+
 def test_hundredths_round_as_sql_does(spark, base):
     from tallyspark.plans.star import _hundredths
 
